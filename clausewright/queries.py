@@ -1,0 +1,3 @@
+"""The engine's own queries."""
+QUERIES = {}
+ORACLE = {}
