@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clausewright.llm.chunked_media import media_column
 from clausewright.llm.curve_packing import curve_packed
 from clausewright.llm.dart_minhash import near_classes
+from clausewright.llm.suffix_dedup import remove_repeats
 from clausewright.llm.warc_zip import archive_round_trip
 
 
@@ -33,5 +34,9 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash)}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup)}
 ORACLE: dict[str, str] = {}
