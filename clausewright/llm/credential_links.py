@@ -102,3 +102,16 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", scope: int
     out = slim.join(linked(slim, scope), "row", "left")
     none = F.array().cast(f"array<{SPAN}>")
     return out.select(F.col("key").alias(key), "strong", F.coalesce("linked", none).alias("linked"), *(F.col(f"carry_{c}").alias(c) for c in carry))
+
+
+def redacted(text: Column, found: Column) -> Column:
+    """The text with each run of overlapping spans replaced by the first one's kind in square brackets."""
+    whole = F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        mark = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(F.array_sort(found), start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return F.when(F.size(found) > 0, done).otherwise(text)

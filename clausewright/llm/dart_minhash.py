@@ -10,8 +10,10 @@ further.  Ranks, coordinates and counts of darts come from hashing the cell (shi
 
 Bands of coordinates give buckets.  Within a bucket, members are compared with a centre, not with each other: the
 exact overlap of their shingles decides, links contract to components, and buckets whose members are in one
-component are done.  After ``star_rounds`` other centres, what is left (members of different components in a
-bucket) is compared pair by pair, so that no link is lost to the use of centres.
+component are done.  Buckets that hold several components after ``star_rounds`` centres are cut into blocks of bounded
+size; each pair of blocks is compared in memory, and only links that connect components leave it.  There whole
+signatures rule out pairs whose estimate is six deviations below the threshold, and the exact overlap decides the
+others, so that no link is lost to the use of centres, and no list of pairs is ever made.
 
 With 7 coordinates to a band and 44 bands, a pair at similarity 0.8 shares no bucket with probability 3e-5.
 
@@ -27,7 +29,7 @@ from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,18 +117,77 @@ def sign(docs: DataFrame, *, width: int, bands: int, rows: int, counted: bool) -
     return docs.select("key", "node", "copy", "text").mapInArrow(run, f"key {kinds['key']}, node {kinds['node']}, copy binary, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, *, width: int, counted: bool) -> DataFrame:
-    """(node, s): each text's elements, as a sorted array."""
+def shingle_sets(docs: DataFrame, *, width: int, counted: bool, k: int) -> DataFrame:
+    """(node, s, marks): each text's elements, as a sorted array, and 16 bits of each coordinate of its signature."""
     kind = docs.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 20):
                 h, doc = _text_elements(part, width, counted)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["node", "s"])
+                marks = (mix64(signatures(h, doc, part.num_rows, k).reshape(-1)) >> np.uint64(48)).astype("<u2").reshape(-1, k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), pa.array([m.tobytes() for m in marks], pa.binary())], ["node", "s", "marks"])
+
+    return docs.select("node", "text").mapInArrow(run, f"node {kind}, s array<long>, marks binary")
+
 
-    return docs.select("node", "text").mapInArrow(run, f"node {kind}, s array<long>")
+def links_in_blocks(at: DataFrame, sets: DataFrame, *, similarity: float, k: int, members: int = 1024, block_bytes: int = 16 << 20) -> DataFrame:
+    """(a, b): links between members (bucket, node, root) of different roots, enough to connect what is connected.
+
+    A bucket is cut into blocks by a hash, so many that none holds more than about ``members`` rows or
+    ``block_bytes``; each pair of blocks is one group.
+    """
+    kind = dict(at.dtypes)["node"]
+    rows = at.join(sets, "node").withColumn("bytes", F.size("s") * 8 + 2 * k)
+    size = at.join(sets.select("node", F.size("s").alias("n")), "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * 8 + 2 * k).alias("bytes"))
+    size = size.select("bucket", F.greatest(F.ceil(F.col("c") / members), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    dealt = rows.drop("bytes").join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(99)), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("bucket", "node", "root", "s", "marks", "block", other)
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    low = similarity - 6 * (similarity * (1 - similarity) / k) ** 0.5
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, block = (table.column(c).to_pylist() for c in ("node", "root", "block"))
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), "<u2").reshape(len(node), k)
+        lists = table.column("s").combine_chunks()
+        ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        name = np.unique(np.array(root), return_inverse=True)[1]
+        side = np.array(block)
+        across = len(set(block)) > 1
+        estimates, firsts, seconds = [], [], []
+        for x in range(len(node) - 1):
+            rest = np.arange(x + 1, len(node))
+            rest = rest[(name[rest] != name[x]) & ((side[rest] != side[x]) | (not across))]
+            e = (marks[rest] == marks[x]).mean(axis=1)
+            good = e >= low
+            estimates.append(e[good])
+            firsts.append(np.full(good.sum(), x))
+            seconds.append(rest[good])
+        parent = list(range(name.max() + 1))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        out = []
+        e, f, g = (np.concatenate(v) if v else np.zeros(0, int) for v in (estimates, firsts, seconds))
+        for n in np.argsort(-e, kind="stable").tolist():
+            x, y = int(f[n]), int(g[n])
+            p, q = find(name[x]), find(name[y])
+            if p == q:
+                continue
+            s, t = flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            if common >= similarity * (len(s) + len(t) - common):
+                parent[p] = q
+                out.append((node[x], node[y]))
+        key = table.schema.field("node").type
+        return pa.table({"a": pa.array([o[0] for o in out], key), "b": pa.array([o[1] for o in out], key)})
+
+    return dealt.select("bucket", "i", "j", "node", "root", "block", "s", "marks").groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -141,15 +202,28 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("s") + F.size("t") - common)).alias("sim"))
 
 
+def node_of(docs: DataFrame, key: str, text: str) -> Column:
+    """What a row is called in the graph of links: its key, or a hash of its text where it has none."""
+    kind = "bigint" if isinstance(docs.schema[key].dataType, T.IntegralType) else "string"
+    return F.coalesce(F.col(key).cast(kind), F.xxhash64(text_key(F.col(text))).cast(kind))
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: the one whose key names the class."""
+    found = near_classes(docs, key=key, text=text, **options)
+    kept = found.where("node = class_id").select(F.col("node").alias("kept_node")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node_of(docs, key, text).alias("node"))
+    return whole.join(kept, F.col("node") == F.col("kept_node"), "left_semi").dropDuplicates(["node"]).select("row.*")
+
+
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 44, rows: int = 7, counted: bool = False, star_rounds: int = 2) -> DataFrame:
-    """(key, class_id, copies, copy) for each row of ``docs``.
+    """(key, class_id, copies, copy, node) for each row of ``docs``.
 
     class_id: the least key of the texts that links of at least ``similarity`` and exact copies connect; copies:
-    rows with this very text; copy: identity of the text.
+    rows with this very text; copy: identity of the text; node: the key, or what a row without one is named.
     """
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_key(F.col(text)).alias("copy"))
-    kind = "long" if isinstance(named.schema["key"].dataType, T.IntegralType) else "string"
-    named = named.withColumn("node", F.coalesce(F.col("key").cast(kind), F.xxhash64("copy").cast(kind)))
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_key(F.col(text)).alias("copy"), node_of(docs, key, text).alias("node"))
+    kind = dict(named.dtypes)["node"]
     signed = materialise(sign(named, width=width, bands=bands, rows=rows, counted=counted), "signatures")
     signed = signed.withColumn("copy", F.when(F.col("n") == 0, F.lit(b"")).otherwise(F.col("copy"))).withColumn("salt", salt_of("node"))
     first = materialise(least_per_key(signed, "copy", "node", "first"), "copies")
@@ -162,38 +236,28 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
 
     members = materialise(open_.select("node").distinct(), "members")
     chosen = named.join(members, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialise(shingle_sets(chosen, width=width, counted=counted), "sets")
+    sets = materialise(shingle_sets(chosen, width=width, counted=counted, k=bands * rows), "sets")
 
-    tested = None
-    linked = named.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    roots = named.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+    met = open_.where("node != centre")
+    roots, linked = None, None
     for turn in range(star_rounds + 1):
         if turn:
             at = open_.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-            at = at.join(several.select("bucket"), "bucket", "left_semi")
-            if turn < star_rounds:  # another centre for each bucket
-                ranked = at.withColumns({"rank": F.struct(F.xxhash64("node", F.lit(turn)), "node", "root"), "salt": salt_of("node")})
-                picked = least_per_key(ranked, "bucket", "rank", "centre").select("bucket", "salt", "centre")
-                met = ranked.join(picked, ["bucket", "salt"]).where("root != centre.root").select("bucket", "node", F.col("centre.node").alias("centre"))
-                open_ = materialise(at.select("bucket", "node"), "buckets")
-            else:  # what centres didn't settle, pair by pair
-                other = at.select("bucket", F.col("node").alias("centre"), F.col("root").alias("other"))
-                met = at.join(other, "bucket").where("root < other").select("node", "centre")
-        else:
-            met = open_.where("node != centre")
-        pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(similarities(pairs, sets), "similarities")
-        tested = found if tested is None else tested.unionByName(found)
-        fresh = found.where(F.col("sim") >= similarity).select("a", "b")
-        linked = linked.unionByName(fresh)
-        if turn == 0 or not fresh.isEmpty():
-            roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))) if turn else linked)
-        if turn and turn < star_rounds and open_.isEmpty():
-            break
+            open_ = at = materialise(at.join(several.select("bucket"), "bucket", "left_semi").select("bucket", "node", "root"), "buckets")
+            ranked = at.withColumns({"rank": F.struct(F.xxhash64("node", F.lit(turn)), "node", "root"), "salt": salt_of("node")})
+            picked = least_per_key(ranked, "bucket", "rank", "centre").select("bucket", "salt", "centre")
+            met = ranked.join(picked, ["bucket", "salt"]).where("root != centre.root").select("bucket", "node", F.col("centre.node").alias("centre"))
+        if turn < star_rounds:  # another centre for each bucket
+            pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+            fresh = similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b")
+        else:  # what centres didn't settle
+            fresh = links_in_blocks(at, sets, similarity=similarity, k=bands * rows)
+        fresh = materialise(fresh, "links")
+        linked = fresh if linked is None else linked.unionByName(fresh)
+        if roots is None or not fresh.isEmpty():
+            roots = components(linked)
 
     labels = first.join(roots.withColumnRenamed("node", "first"), "first", "left").select("copy", "salt", "copies", F.coalesce("root", "first").alias("root"))
     rows_ = signed.select("key", "node", "copy", "salt").join(labels, ["copy", "salt"])
-    return rows_.select(F.col("key").alias(key), F.col("root").alias("class_id"), "copies", "copy")
+    return rows_.select(F.col("key").alias(key), F.col("root").alias("class_id"), "copies", "copy", "node")

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clausewright.llm import chat_events as chat
+from clausewright.llm import credential_links as secrets
+from clausewright.llm import rule_ensemble as rules
+from clausewright.llm.bpe_monoid import encode_column
 from clausewright.llm.chunked_media import media_column
 from clausewright.llm.curve_packing import curve_packed
 from clausewright.llm.dart_minhash import near_classes
+from clausewright.llm.line_cleaning import clean_lines
 from clausewright.llm.suffix_dedup import remove_repeats
 from clausewright.llm.warc_zip import archive_round_trip
 
@@ -38,5 +44,42 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup)}
+def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.rendered(F.col("strong")), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secrets.rendered(F.concat("strong", "linked")).alias("spans"))
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = rules.train(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(rules.crc_fold(F.col("doc_id")) == 0, F.lit(False))
+    return rules.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_column(_table(spark, sf_dir, "documents"), ranks=ranks, pattern=public_tokenizers.PATTERN, digests=True)
+
+
+def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    rows = rows.select("conv_id", "turn", "role", "text").unionByName(chat.probe(rows.schema["conv_id"].dataType, spark))
+    out = chat.chats(chat.events_of_turns(rows))
+    turns = chat.read_back(F.col("formatted"))
+    told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.under_mask(F.col("formatted"), F.col("loss"))
+    return out.select(
+        F.col("conversation").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(_table(spark, sf_dir, "documents"), cleaned=False).drop("chars_lost")
+
+
+ALL = (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup, op6_credential_links, op7_rule_ensemble, op8_bpe_monoid, op9_chat_events, op10_line_cleaning)
+QUERIES = {f.__name__: f for f in ALL}
 ORACLE: dict[str, str] = {}

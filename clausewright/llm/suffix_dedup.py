@@ -314,8 +314,11 @@ def repeated_strings(rows: DataFrame, *, length: int, lead: int, **bucket) -> Da
     return found.where("digest is null").drop("digest").unionByName(later).unionByName(local)
 
 
-def cut_out(docs: DataFrame, length: int) -> DataFrame:
-    """(rank, copy, n_removed, n_spans, kept) of (rank, copy, text, starts: array of (first, last))."""
+def cut_out(docs: DataFrame, length: int, whole_chars: bool = False) -> DataFrame:
+    """(rank, copy, n_removed, n_spans, kept) of (rank, copy, text, starts: array of (first, last)).
+
+    With ``whole_chars``, a character of which a cut has left a part goes too, so that ``kept`` is text.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -335,13 +338,14 @@ def cut_out(docs: DataFrame, length: int) -> DataFrame:
                     end = at = max(end, hi)
                 removed.append(total)
                 spans.append(n)
-                kept.append(b"".join([*parts, raw[at:]]))
+                parts.append(raw[at:])
+                kept.append(b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if whole_chars else b"".join(parts))
             yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("copy"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["rank", "copy", "n_removed", "n_spans", "kept"])
 
     return docs.select("rank", "copy", "text", "starts").mapInArrow(cut, "rank long, copy long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100, lead: int = 32, carry: tuple[str, ...] = (), digest: bool = False, **bucket) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100, lead: int = 32, carry: tuple[str, ...] = (), digest: bool = False, whole_chars: bool = False, **bucket) -> DataFrame:
     """What is left of each text: key, n_bytes, n_removed, n_spans, then ``kept`` (its bytes) and ``carry`` columns.
 
     With ``digest``, kept_sha256 takes the place of ``kept``; texts that lose nothing are then not moved.
@@ -359,7 +363,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = materialise(long_.select("rank", "copy", "sha", "text").join(asked, ["rank", "copy"]).dropDuplicates(["rank", "copy"]).drop("sha"), "texts")
     found = materialise(suffixes(texts, length=length, lead=lead), "suffixes")
     starts = repeated_strings(found, length=length, lead=lead, **bucket).groupBy("rank", "copy").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    results = cut_out(texts.select("rank", "copy", "text").join(starts, ["rank", "copy"]), length)
+    results = cut_out(texts.select("rank", "copy", "text").join(starts, ["rank", "copy"]), length, whole_chars)
     copies = long_.select("sha", "salt", "rank", "copy", "n_bytes").join(firsts.drop("copies"), ["sha", "salt"]).where("rank != first")
     copies = copies.dropDuplicates(["rank", "copy"]).select("rank", "copy", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     changed = results.unionByName(copies)
