@@ -41,7 +41,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "upper": (F.length(t) - lower) / n,
         "word_chars": (n - (n_words - 1)) / n_words,
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "same_as_last": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / n_words,
+        "same_as_last": F.size(F.filter(F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda w, last: w == last), lambda x: x)) / n_words,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "line_words": n_words / F.size(lines),
     }
