@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,30 +30,73 @@ class CachedTokenizer:
     """Ids of many texts.  The vocabulary's rules never look across a blank, so each distinct run of other
     characters is encoded once and its ids are gathered; what is remembered is bounded by ``most`` runs."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    MARK = "\x01"  # stands between runs that are encoded in one call; its id comes from nothing else
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, np.ndarray] = {"": np.empty(0, np.int64)}
+        (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode runs.  A run of Latin letters has the ids of its lower-case form, and one that a comma or full stop
+        follows has those and the mark's: the vocabulary folds case and parts letters from other characters."""
+        cores, tails = [], []
+        for w in fresh:
+            core, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            plain = core.isalpha() and max(core) < "\u0250"
+            cores.append(core.lower() if plain else w)
+            tails.append(tail if plain else "")
+        known = self.known
+        self.encode([w for w in dict.fromkeys(cores + tails) if w not in known])
+        made = [i for i, w in enumerate(fresh) if w not in known]
+        a = np.array([known[cores[i]] for i in made], np.int64)
+        b = np.array([known[tails[i]] for i in made], np.int64)
+        at = np.column_stack([a, b]).reshape(-1)
+        n = self.sizes[at]
+        before = np.cumsum(n) - n
+        size = len(known)
+        known.update(zip([fresh[i] for i in made], range(size, size + len(made)), strict=True))
+        self.flat = np.concatenate([self.flat, self.flat[np.repeat(self.starts[at] - before, n) + np.arange(n.sum())]])
+        self.sizes = np.concatenate([self.sizes, self.sizes[a] + self.sizes[b]])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode(self, fresh: list[str]) -> None:
+        """Encode runs, a few thousand to a call, and keep their ids one after another."""
+        plain = [w for w in fresh if self.MARK not in w]
+        parts, sizes = [self.flat], [self.sizes]
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            parts.append(np.delete(ids, marks))
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+        odd = [w for w in fresh if self.MARK in w]
+        for w in odd:
+            parts.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32))
+            sizes.append(np.array([len(parts[-1])]))
+        n = len(self.known)
+        self.known.update(zip(plain + odd, range(n, n + len(fresh)), strict=True))
+        self.flat, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, texts: list[str], closing: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another and each closed by ``closing``; and the number of ids of each text."""
-        runs, counts = [], np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            parts = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            counts[i] = len(parts)
-            runs += parts
-        codes, distinct = pd.factorize(np.array(runs, dtype=object))
+        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        counts = np.array([len(x) for x in lists], np.int64)
+        codes, distinct = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
         if len(self.known) > self.most:
-            self.known = {"": self.known[""]}
-        fresh = [w for w in distinct if w not in self.known]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.int64)
-        lists = [self.known[w] for w in distinct]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat, starts = np.concatenate(lists), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        # the runs of a text, then its closing id, which is kept as one more entry
-        flat, starts, sizes = np.append(flat, closing), np.append(starts, len(flat)), np.append(sizes, 1)
+            self.forget()
+        self.learn([w for w in distinct if w not in self.known])
+        known = self.known
+        codes = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[codes]
+        # the runs of a text, then its closing id, which is one more entry at the end
+        flat, starts, sizes = np.append(self.flat, closing), np.append(self.starts, len(self.flat)), np.append(self.sizes, 1)
         codes = np.insert(codes, np.cumsum(counts), len(sizes) - 1)
         n = sizes[codes]
         before = np.cumsum(n) - n
@@ -61,6 +105,98 @@ class CachedTokenizer:
         return ids, np.diff(ends, prepend=0)
 
 
+class RankedTokenizer:
+    """The same ids as a word-end BPE file's, by a faster merge loop, for texts of plain Latin-1 characters.
+
+    A word's end is written as a blank after it, so that the file's tokens become byte strings whose ranks are the
+    order of its merges.  Merging by the rank of the joined string is merging by the rank of the pair if each token's
+    own string is encoded as that token; tokens for which the file's own model says otherwise can't come from any text,
+    and are left out.  Other texts (apostrophes, other scripts, superscript digits) go to CachedTokenizer.
+    """
+
+    LETTER, DIGIT, OTHER, BLANK = range(4)
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+        from tokenizers import models
+
+        self.slow = CachedTokenizer(path)
+        with open(path) as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        end = spec["end_of_word_suffix"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        inner, last = models.BPE(spec["vocab"], merges), self.slow.tokenizer.model
+        ranks: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        ids = [spec["vocab"][c] for c, _ in sorted(self.byte_of.items(), key=lambda x: x[1])]
+        for c, b in sorted(self.byte_of.items(), key=lambda x: x[1]):
+            ranks[bytes([b, 0x20])] = 256 + b
+            ids.append(spec["vocab"][c + end])
+        for a, b in merges:
+            token = a + b
+            whole = last.tokenize(token.removesuffix(end)) if token.endswith(end) else inner.tokenize(token)
+            ids.append(spec["vocab"][token])
+            if len(whole) == 1 and whole[0].id == ids[-1]:
+                ranks[self.raw(token.removesuffix(end)) + b" " * token.endswith(end)] = len(ids) - 1
+        self.ids = np.array(ids, np.int64)
+        ordered = {t: i for i, t in enumerate(sorted(ranks, key=ranks.get))}
+        self.ids = self.ids[[ranks[t] for t in ordered]]
+        self.encoder = tiktoken.Encoding("ranked", pat_str="[^ ]+ ", mergeable_ranks=ordered, special_tokens={})
+        kind = np.full(256, self.OTHER, np.uint8)
+        for b in range(256):
+            c = chr(b)
+            kind[b] = self.BLANK if c in "\t\n\v\f\r \x85\xa0" else self.LETTER if c.isalpha() else self.DIGIT if c.isdigit() else self.OTHER
+        self.kind = kind
+        self.lower = np.array([ord(chr(b).lower()) if len(chr(b).lower()) == 1 else b for b in range(256)], np.uint8)
+        self.lower[kind == self.BLANK] = 0x20
+
+    def raw(self, token: str) -> bytes:
+        return bytes(self.byte_of[c] for c in token)
+
+    def spaced(self, text: str) -> str | None:
+        """The text in lower case, each piece followed by a blank; None if it isn't plain."""
+        try:
+            data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return None
+        if "'" in text or any(c in text for c in "²³¹¼½¾"):
+            return None
+        kind = self.kind[data]
+        digit = kind == self.DIGIT
+        cut = np.zeros(len(data), np.int64)
+        cut[:-1] = (kind[1:] != kind[:-1]) & (kind[1:] != self.BLANK) & (kind[:-1] != self.BLANK) | digit[1:] & digit[:-1]
+        out = np.full(len(data) + int(cut.sum()) + 1, 0x20, np.uint8)
+        out[np.arange(len(data)) + np.cumsum(cut) - cut] = self.lower[data]
+        return out.tobytes().decode("latin-1")
+
+    def __call__(self, texts: list[str], closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another and each closed by ``closing``; and the number of ids of each text."""
+        parts, end = [], np.array([closing], np.int64)
+        for t in texts:
+            plain = self.spaced(t)
+            if plain is None:
+                parts.append(self.slow([t], closing)[0])
+            else:
+                parts += [self.ids[self.encoder.encode_to_numpy(plain, disallowed_special=())], end]
+                parts[-2:] = [np.concatenate(parts[-2:])]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str) -> RankedTokenizer | CachedTokenizer:
+    """One for all tasks of a worker process."""
+    import json
+
+    with open(path) as f:
+        spec = json.load(f)
+    words_end = spec["model"].get("end_of_word_suffix") and {n["type"] for n in spec["normalizer"].get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}
+    return RankedTokenizer(path) if words_end else CachedTokenizer(path)
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place of each cell (rows of unsigned coordinates below 2**bits) on the Hilbert curve through the grid.
 
@@ -115,7 +251,7 @@ def tokenise(docs: DataFrame, *, key: str, text: str, tokenizer: str, closing: i
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedTokenizer(tokenizer)
+        encoder = shared_tokenizer(tokenizer)
         unit = np.dtype("<u2") if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
