@@ -36,6 +36,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.vocabulary = self.tokenizer.get_vocab_size()
         (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.forget()
 
@@ -123,6 +124,7 @@ class RankedTokenizer:
         from tokenizers import models
 
         self.slow = CachedTokenizer(path)
+        self.vocabulary = self.slow.vocabulary
         with open(path) as f:
             spec = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
@@ -252,7 +254,7 @@ def tokenise(docs: DataFrame, *, key: str, text: str, tokenizer: str, closing: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_tokenizer(tokenizer)
-        unit = np.dtype("<u2") if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        unit = np.dtype("<u2") if encoder.vocabulary <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
                 ids, sizes = encoder([t or "" for t in part.column("text").to_pylist()], closing)
