@@ -75,10 +75,10 @@ def phrase_column(text: Column, *, pattern: str = PARAGRAPH, when_long: Column |
     return run(text, F.lit(False) if when_long is None else F.coalesce(when_long, F.lit(False)))
 
 
-def split_paragraph(text: Column) -> Column:
-    """The delimiter split alone, without a Python worker: pieces keep their delimiter."""
-    marked = F.regexp_replace(text, PARAGRAPH, "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda x: x != "")
+def split_paragraph(text: Column, keep: bool = True) -> Column:
+    """The delimiter split alone, without a Python worker: pieces keep their delimiter, or lose it."""
+    marked = F.regexp_replace(text, PARAGRAPH, ("$1" if keep else "") + "\u0001")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_bullets(text: Column) -> Column:
