@@ -6,6 +6,9 @@ and a checksum, never nodes.  A node with very many neighbours is dealt over sal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +33,45 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(rows.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 40) -> DataFrame:
+def _finish(edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph that fits one task, by union-find."""
+    kind = dict(edges.dtypes)["u"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        form = None
+        for b in batches:
+            form = b.schema.field(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = find(u), find(v)
+                parent[max(a, c)] = min(a, c)
+        nodes = list(parent)
+        for a in range(0, len(nodes), 1 << 16):
+            some = nodes[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, form), pa.array([find(x) for x in some], form)], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", *, fits: int = 2_000_000, rounds: int = 40) -> DataFrame:
     """(node, root) of every node that has an edge to another: root is the least node of its component.
 
-    Converges in a number of rounds logarithmic in the longest path; loops and repeated edges don't matter.
+    The graph is contracted over the cluster, in a number of rounds logarithmic in its longest path, until nothing
+    changes or no more than ``fits`` edges are left (some 200 MB), which one task then finishes.  Loops and repeated edges don't matter.
     """
     at = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
-    seen = None
+    seen = (at.count(), None)
     for _ in range(rounds):
+        if seen[0] <= fits:
+            return materialise(_finish(at), "components")
         at = materialise(_small_star(_large_star(at)), "edges")
-        now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
         seen = now

@@ -216,7 +216,7 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     return whole.join(kept, F.col("node") == F.col("kept_node"), "left_semi").dropDuplicates(["node"]).select("row.*")
 
 
-def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 44, rows: int = 7, counted: bool = False, star_rounds: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 44, rows: int = 7, counted: bool = False, star_rounds: int = 1) -> DataFrame:
     """(key, class_id, copies, copy, node) for each row of ``docs``.
 
     class_id: the least key of the texts that links of at least ``similarity`` and exact copies connect; copies:
@@ -245,10 +245,11 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
             at = open_.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
             open_ = at = materialise(at.join(several.select("bucket"), "bucket", "left_semi").select("bucket", "node", "root"), "buckets")
+        if 0 < turn < star_rounds:  # another centre for each bucket
             ranked = at.withColumns({"rank": F.struct(F.xxhash64("node", F.lit(turn)), "node", "root"), "salt": salt_of("node")})
             picked = least_per_key(ranked, "bucket", "rank", "centre").select("bucket", "salt", "centre")
             met = ranked.join(picked, ["bucket", "salt"]).where("root != centre.root").select("bucket", "node", F.col("centre.node").alias("centre"))
-        if turn < star_rounds:  # another centre for each bucket
+        if turn < star_rounds:
             pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
             fresh = similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b")
         else:  # what centres didn't settle
