@@ -247,8 +247,12 @@ def curve_places(ids: np.ndarray, sizes: np.ndarray, *, buckets: int, dims: int,
     return out
 
 
-def tokenise(docs: DataFrame, *, key: str, text: str, tokenizer: str, closing: int, buckets: int = 256, dims: int = 4, bits: int = 12) -> DataFrame:
-    """(key, place, n, ids): ids as little-endian unsigned 16-bit integers, or 32-bit ones for large vocabularies."""
+def tokenise(docs: DataFrame, *, key: str, text: str, tokenizer: str, closing: int, buckets: int = 256, dims: int = 4, bits: int = 12, segment: int = 4096) -> DataFrame:
+    """(key, place, n, start, size, ids): ids as little-endian unsigned 16-bit integers, or 32-bit ones for large vocabularies.
+
+    A document of more than ``segment`` ids has a row for each so many, so that the range sort, which balances rows,
+    balances bytes as well.
+    """
     small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
@@ -259,12 +263,16 @@ def tokenise(docs: DataFrame, *, key: str, text: str, tokenizer: str, closing: i
             for part in text_slices(batch, "text", 1 << 20):
                 ids, sizes = encoder([t or "" for t in part.column("text").to_pylist()], closing)
                 places = curve_places(ids, sizes, buckets=buckets, dims=dims, bits=bits)
+                rows = -(-sizes // segment)
+                doc = np.repeat(np.arange(len(sizes)), rows)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)) * segment
+                size = np.minimum(segment, sizes[doc] - start)
                 raw = ids.astype(unit)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]) * unit.itemsize
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places), pa.array(sizes), packed], ["key", "place", "n", "ids"])
+                offsets = np.concatenate([[0], np.cumsum(size)]) * unit.itemsize
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(places[doc]), pa.array(sizes[doc]), pa.array(start), pa.array(size), packed], ["key", "place", "n", "start", "size", "ids"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, f"key {kind}, place long, n long, ids binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, f"key {kind}, place long, n long, start long, size long, ids binary")
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -290,11 +298,11 @@ def pack(tokens: DataFrame, *, key: str, length: int = 2048) -> DataFrame:
         for b in batches:
             full: list[tuple] = []
             wide = b.schema.field("key").type
-            for k, n, raw in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                ids, at = np.frombuffer(raw, f"<u{len(raw) // n}"), 0
-                while at < n:
+            for k, n, start, size, raw in zip(*(b.column(c).to_pylist() for c in ("key", "n", "start", "size", "ids")), strict=True):
+                ids, at = np.frombuffer(raw, f"<u{len(raw) // size}"), 0
+                while at < size:
                     piece = ids[at : at + length - used]
-                    opened.append((k, at, piece, n, base + sequence, used))
+                    opened.append((k, start + at, piece, n, base + sequence, used))
                     at += len(piece)
                     used += len(piece)
                     if used == length:
@@ -320,8 +328,8 @@ def pack(tokens: DataFrame, *, key: str, length: int = 2048) -> DataFrame:
         if rest:
             yield batch(rest, wide)
 
-    ordered = tokens.repartitionByRange("place", "key", "n").sortWithinPartitions("place", "key", "n", "ids")
-    return ordered.select("key", "n", "ids").mapInArrow(fill, f"`{key}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ordered = tokens.repartitionByRange("place", "key", "n", "start").sortWithinPartitions("place", "key", "n", "start", "ids")
+    return ordered.select("key", "n", "start", "size", "ids").mapInArrow(fill, f"`{key}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def curve_packed(docs: DataFrame, *, tokenizer: str, key: str = "doc_id", text: str = "text", closing: int = 1, length: int = 2048, **curve) -> DataFrame:
