@@ -82,4 +82,21 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup, op6_credential_links, op7_rule_ensemble, op8_bpe_monoid, op9_chat_events, op10_line_cleaning)
 QUERIES = {f.__name__: f for f in ALL}
-ORACLE: dict[str, str] = {}
+
+#: The two that SQL can say.  The base32 text of a digest is read off it five hexadecimal digits at a time.
+ORACLE: dict[str, str] = {
+    "op1_warc_zip": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(d, ((i // 4) * 5 + 1)::INT, 5))::INT) >> ((3 - i % 4) * 5)::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM f""",
+    "op9_chat_events": """
+WITH said AS (SELECT '</s>[INST] ok [/INST]' AS text),
+r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', text FROM said UNION ALL SELECT -7, 1, 'assistant', text FROM said),
+e AS (SELECT *, len(replace(replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2'), '>', '~3')) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 15 + len(role) END AS n FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+}
