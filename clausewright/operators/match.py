@@ -285,7 +285,8 @@ def decorated(matches: DataFrame, headings: DataFrame, *, doc: str = "file_id")
 def to_arrays(matches: DataFrame) -> DataFrame:
     """Parallel arrays in place of structs, for readers that want those."""
     names = {"match_term_list": "term", "identifier_list": "identifier", "similarity_list": "similarity", "match_type_list": "match_type"}
-    return matches.withColumns({n: F.transform("hits", lambda h, f=f: h[f]) for n, f in names.items()}).drop("hits")
+    field = lambda f: F.transform("hits", lambda h: h[f])
+    return matches.withColumns({n: field(f) for n, f in names.items()}).drop("hits")
 
 
 def api_rows(matches: DataFrame, task: Column, *, by: list[str], order: list[str], top: int = TOP_N) -> DataFrame:

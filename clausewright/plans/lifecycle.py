@@ -49,7 +49,8 @@ def summary_rows(blocks: DataFrame, bank: DataFrame) -> Read:
 def match_rows(ts: DataFrame, fa: DataFrame, *, task: str = "file_id", pos: str = "pos", embed=None, top: int = match.TOP_N, compat: bool = True) -> DataFrame:
     """Summary rows with their best clauses.
 
-    ``ts`` and ``fa`` hold rows of pairs that share ``task``; both have ``pos``.  Texts are embedded once each; similar
+    ``ts`` and ``fa`` hold rows of pairs that share ``task``; both have ``pos``.  They are read several times: give stored rows,
+    not the plan that extracts them.  Texts are embedded once each; similar
     texts are found by exact cosine within a task, fan out to identifiers, are reduced to one hit per identifier, merged
     (outside sections that list terms), extended by rules, re-ranked, cut to ``top`` and decorated.
     """

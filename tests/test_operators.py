@@ -153,6 +153,7 @@ def stacked(spark, docs):
 
 def test_agreement(spark):
     rows, errors = E.extract_agreement(stacked(spark, {"d": AGREEMENT, "bad": AGREEMENT[:3], "none": AGREEMENT[:12]}))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
     found = {r.text: r for r in rows.where("doc_id = 'd'").collect()}
     assert found['"Margin" means two per cent.'].identifier == "Cl_1.1-Margin"
     assert found["first limb"].identifier == "Cl_2.1(a)" and found["detail"].identifier == "Cl_2.1(a)(i)" and found["detail"].parent_list == "first limb"
@@ -173,14 +174,17 @@ def test_summary(spark):
     assert ("Documentation", "paragraph", "terms") in got and ("Borrower", "paragraph", "Alpha Limited") in got
 
 
-def test_match_from_end_to_end(spark):
-    fa = E.extract_agreement(stacked(spark, {"d": AGREEMENT}))[0].withColumnRenamed("doc_id", "file_id")
+def test_match_from_end_to_end(spark, tmp_path):
+    E.extract_agreement(stacked(spark, {"d": AGREEMENT}))[0].withColumnRenamed("doc_id", "file_id").write.parquet(str(tmp_path / "fa"))
+    fa = spark.read.parquet(str(tmp_path / "fa"))  # matching reads the rows of agreements several times, so they are stored first
     ts = spark.createDataFrame([("d", 0, "Margin", "section", "Margin"), ("d", 1, "Margin", "paragraph", "two per cent margin"), ("d", 2, "Prepayment", "paragraph", "voluntary prepayment first limb"), ("d", 3, "Events of Default", "paragraph", "prepayment")], "file_id string, pos int, section string, text_element string, text string")
-    got = {r.pos: r.hits for r in lifecycle.match_rows(ts, fa).collect()}
+    lifecycle.match_rows(ts, fa).write.parquet(str(tmp_path / "m"))
+    found = spark.read.parquet(str(tmp_path / "m"))
+    got = {r.pos: r.hits for r in found.collect()}
     assert any(h.identifier.startswith("Cl_1.1-Margin") for h in got[1])
     assert any(h.identifier.startswith("Cl_2.1") for h in got[2]) and all(len(h) <= 5 for h in got.values())
     assert any(h.match_type == "section" for h in got[3])
-    api = M.api_rows(lifecycle.match_rows(ts, fa), F.lit(9), by=["file_id"], order=["pos"]).orderBy("id").collect()
+    api = M.api_rows(found, F.lit(9), by=["file_id"], order=["pos"]).orderBy("id").collect()
     assert api[0].result is None and api[1].result == [False] * 5 and [r.id for r in api] == [0, 1, 2, 3]
 
 
