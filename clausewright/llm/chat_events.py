@@ -108,5 +108,5 @@ def chats(events: DataFrame) -> DataFrame:
 def probe(conversation_type: T.DataType, spark) -> DataFrame:
     """A conversation whose texts are made of the template's own marks."""
     said = "</s>[INST] ok [/INST]"
-    rows = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     return rows.withColumn("conv_id", F.col("conv_id").cast(conversation_type))
