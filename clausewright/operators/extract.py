@@ -76,6 +76,12 @@ def split_section_and_sub(rows: DataFrame) -> DataFrame:
     return R.keep_first(split, [DOC, "text_block_id", "text_element", "list_id", "text"], [F.col("pos")])
 
 
+def split_embedded_sections(rows: DataFrame) -> DataFrame:
+    """List items that run into a sub-clause (``... end. 12.3 Next``) part into their sentences."""
+    runs_on = F.col("text_element").startswith("list") & F.col("text").rlike(P.EMBEDDED_SECTION)
+    return _renumber(rows.withColumn("texts", F.when(runs_on, F.split("text", r"(?<=\.)\s+(?=\d{1,2}[a-zA-Z]*\.\d)")).otherwise(F.array("text"))), "texts")
+
+
 def find_zones(rows: DataFrame) -> DataFrame:
     """Places where the contents, the parties, what ends them, and the first schedule begin, on every row."""
     for pattern, out in ((P.CONTENTS_BEGIN, "contents_at"), (P.PARTIES_BEGIN, "parties_at"), (P.PARTIES_END, "parties_end")):
@@ -188,7 +194,7 @@ def camel_case(df: DataFrame) -> DataFrame:
 
 def extract_agreement(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clause rows, errors) of an agreement's stacked rows."""
-    zoned = find_zones(split_section_and_sub(tidy(rows)))
+    zoned = find_zones(split_embedded_sections(split_section_and_sub(tidy(rows))))
     errors = zone_errors(zoned)
     good = zoned.where("parties_at is not null and parties_end is not null and schedule_at is not null")
     out = with_identifiers(read_definitions(fill_hierarchy(promote_headings(good))))

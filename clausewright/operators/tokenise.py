@@ -248,6 +248,12 @@ def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos"
     return df.select(doc, "block_id", pos, reset, text).groupBy(doc, "block_id").applyInPandas(run, schema)
 
 
+def item_phrases(df: DataFrame, keys: list[str], items: str = "items") -> DataFrame:
+    """(keys, list_id, n, phrase): the phrases of each numbered item, in order."""
+    each = df.select(*keys, F.posexplode(items).alias("n_item", "i")).select(*keys, "n_item", "i.list_id", F.col("i.text").alias("text"))
+    return each.select(*keys, "n_item", "list_id", F.posexplode(phrase_column(F.col("text"))).alias("n", "phrase"))
+
+
 def flatten_map(col: Column) -> Column:
     """Key paths of a map of maps: ``a_b`` for b inside a."""
     return F.flatten(F.transform(F.map_entries(col), lambda e: F.transform(F.map_entries(e["value"]), lambda x: F.struct(F.concat_ws("_", e["key"], x["key"]).alias("key"), x["value"].alias("value")))))

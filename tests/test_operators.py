@@ -158,6 +158,7 @@ def test_agreement(spark):
     assert found['"Margin" means two per cent.'].identifier == "Cl_1.1-Margin"
     assert found["first limb"].identifier == "Cl_2.1(a)" and found["detail"].identifier == "Cl_2.1(a)(i)" and found["detail"].parent_list == "first limb"
     assert found['ALPHA LIMITED as borrower (the "Borrower")'].identifier == "Parties-Borrower"
+    assert E.split_embedded_sections(stacked(spark, {"d": [("list", None, "the end. 12.3 Next clause"), ("list", None, "one. two")]})).orderBy("pos").select("text").collect() == [("the end.",), ("12.3 Next clause",), ("one. two",)]
     assert found["PART A lenders"].identifier == "Sched_1.A" and found["first limb"].section == "PREPAYMENT"
     assert {(r.doc_id, r.message.split()[-1]) for r in errors.collect()} == {("bad", "found"), ("none", "found")}
     assert rows.where("doc_id != 'd'").count() == 0
