@@ -338,6 +338,17 @@ def test_op6(spark, sf):
     assert credential_links.scan(awkward(spark, [])).count() == 0
 
 
+def test_op6_name_value_lines(spark):
+    """Parts that stand directly after '=' and names that end a longer one."""
+    key = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY"
+    rows = [(1, f"AWS_ACCESS_KEY_ID=AKIA{'Q' * 16}\nAWS_SECRET_ACCESS_KEY={key}\n"), (2, "DB_USER=bob\nDB_PASSWORD=hunter222\n"), (3, f"AWS_SECRET_ACCESS_KEY={key}\n"), (4, "DB_USER=bob\n"), (5, "superuser=bob password=hunter222"), (6, f"AKIA{'Q' * 16} {key}=")]
+    found = credential_links.scan(awkward(spark, rows), carry=("text",)).select("doc_id", credential_links.redacted(F.col("text"), F.concat("strong", "linked")).alias("clean")).collect()
+    clean = {r.doc_id: r.clean for r in found}
+    assert len(key) == 40 and clean[1] == "AWS_ACCESS_KEY_ID=[access]\nAWS_SECRET_ACCESS_KEY=[key40]\n"
+    assert clean[2] == "DB_[name]\nDB_[assign]\n" and clean[3] == rows[2][1] and clean[4] == rows[3][1]
+    assert clean[5] == "superuser=bob [assign]" and clean[6] == f"[access] {key}="
+
+
 def test_op6_is_native(spark, sf):
     plan = queries.op6_credential_links(spark, sf)._jdf.queryExecution().executedPlan().toString() + queries.op9_chat_events(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
