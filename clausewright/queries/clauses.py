@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausewright.functions import text as X
 from clausewright.operators import extract as E
 from clausewright.operators import match as M
 from clausewright.operators import rows as R
@@ -59,6 +60,16 @@ def heading_guard(spark, sf_dir):
     return rows.where(short).select("doc_id", "pos", E.heading_guard(F.col("text")).alias("heading"))
 
 
+SMALL = ", ".join(f"'{w}'" for w in X.SMALL_WORDS)
+
+
+@query(f"""WITH {LINES}, w AS (SELECT *, regexp_split_to_array(trim(text), '\\s+') AS ws FROM lines), h AS (SELECT *, list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]')) AS hs FROM w)
+SELECT doc_id, pos, CASE WHEN text = upper(text) OR len(ws) <= 10 OR len(hs) > 0 AND len(list_filter(hs, lambda x: NOT (lower(x) IN ({SMALL}) OR regexp_matches(x, '^[^A-Za-z]*[A-Z]')))) = 0 THEN text END AS heading FROM h""")
+def heading_guard_lines(spark, sf_dir):
+    """heading_guard on every line, with null for those that are no heading."""
+    return lines(spark, sf_dir).select("doc_id", "pos", E.heading_guard(F.col("text")).alias("heading"))
+
+
 NEAR = """items AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos,
   CASE WHEN l_linenumber = 1 THEN '(a)' WHEN l_linenumber = 2 THEN '(a)(i)' WHEN l_linenumber = 3 THEN '(b)' WHEN l_linenumber = 4 THEN '(b)(i)' END AS list_id, 'o' || l_orderkey AS text FROM lineitem)"""
 

@@ -19,6 +19,7 @@ from clausewright.operators import pairs as N
 from clausewright.operators import rows as R
 from clausewright.operators import validate as V
 from clausewright.plans import lifecycle
+from clausewright.queries import clauses
 from clausewright.sources import documents, sinks
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -205,6 +206,14 @@ def test_lookup(spark):
     assert got == {1: "Cl_2", 2: "Cl_1", 3: None, 4: "Cl_1"}
 
 
+def test_heading_guard_of_long_lines(spark, tmp_path):
+    """Lines of over ten words that aren't in capitals: in heading case they are kept, otherwise they get null."""
+    kept, prose = "Right of Prepayment and Cancellation of the Facility by Each Original Borrower or Guarantor", "the Borrower shall repay each loan in full on the last day of its interest period"
+    spark.createDataFrame([(1, f"{kept}\n{prose}\n\nshort line")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.pos: r.heading for r in clauses.QUERIES["heading_guard_lines"](spark, str(tmp_path)).collect()}
+    assert len(kept.split()) > 10 and got == {0: kept, 1: None, 3: "short line"}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("f", 1, 0, None, "1", "x" * 600, None), ("f", 2, 0, 1, "2", "ok", None)], "file_id string, index int, text_block_id int, phrase_id int, page_id string, text_element string, list_id string")
     got = {r.field: (r.broken, r.examples) for r in V.violations(df, V.TS_RULES, by=["file_id"]).collect()}
