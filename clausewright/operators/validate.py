@@ -33,16 +33,25 @@ FA_RULES = [*TS_RULES, *(Rule(f, True, 512) for f in ("section_id", "sub_section
 MATCH_RULES = [*TS_RULES, *(Rule(f, True, None, 5) for f in ("match_term_list", "identifier_list", "similarity_list", "match_type_list"))]
 
 
+def _checks(df: DataFrame, rules: list[Rule]) -> Column:
+    return F.array(*(F.struct(F.lit(r.field).alias("field"), r.broken().alias("bad")) for r in rules if r.field in df.columns))
+
+
 def violations(df: DataFrame, rules: list[Rule], *, by: list[str], pos: str = "index", examples: int = 20) -> DataFrame:
     """(by, field, broken, examples): how many rows break each field's rule, and the least few positions.
 
     Fields become rows before the aggregation, so all rules are one pass and one shuffle of counts.
     """
-    checks = F.array(*(F.struct(F.lit(r.field).alias("field"), r.broken().alias("bad")) for r in rules if r.field in df.columns))
-    each = df.select(*by, F.col(pos).alias("__at"), F.explode(checks).alias("c"))
+    each = df.select(*by, F.col(pos).alias("__at"), F.explode(_checks(df, rules)).alias("c"))
     return each.groupBy(*by, F.col("c.field").alias("field")).agg(F.count_if("c.bad").alias("broken"), F.slice(F.array_sort(F.collect_set(F.when(F.col("c.bad"), F.col("__at")))), 1, examples).alias("examples"))
 
 
+def broken_positions(df: DataFrame, rules: list[Rule], *, by: list[str], pos: str = "index") -> DataFrame:
+    """(by, field, pos): a row for each field's rule that a row breaks; all of them, and nothing is gathered."""
+    bad = F.filter(_checks(df, rules), lambda c: c["bad"])
+    return df.select(*by, F.explode(F.transform(bad, lambda c: c["field"])).alias("field"), F.col(pos).alias("pos"))
+
+
 def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep all rules, and the others with the names of the fields that break one."""
     names = F.filter(F.array(*(F.when(r.broken(), F.lit(r.field)) for r in rules if r.field in df.columns)), lambda x: x.isNotNull())

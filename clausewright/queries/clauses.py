@@ -115,14 +115,27 @@ def melt_dedupe(spark, sf_dir):
     return R.keep_first(long_, ["kind", "value"], [F.col("n_nationkey")]).select("kind", "value", F.col("n_nationkey").cast("long").alias("first_key"))
 
 
+DOC_RULES = [V.Rule("text", False, 2000), V.Rule("lang", False), V.Rule("doc_id", False)]
+
+
+def _checked(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("lang", F.when(~F.col("lang").isin("fr", "es"), F.col("lang")))
+
+
 @query("""WITH c AS (SELECT source, doc_id, unnest(['text', 'lang', 'doc_id']) AS field, unnest([len(text) > 2000, lang = 'fr' OR len(lang) > 1 AND lang = 'es', false]) AS bad FROM documents)
 SELECT source, field, count(*) FILTER (bad) AS broken, coalesce(array_to_string(list_sort(list(doc_id) FILTER (bad))[1:20], ','), '') AS examples FROM c GROUP BY source, field""")
 def validate_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("lang", F.when(~F.col("lang").isin("fr", "es"), F.col("lang")))
-    found = V.violations(docs, [V.Rule("text", False, 2000), V.Rule("lang", False), V.Rule("doc_id", False)], by=["source"], pos="doc_id")
+    found = V.violations(_checked(spark, sf_dir), DOC_RULES, by=["source"], pos="doc_id")
     return found.select("source", "field", "broken", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
+@query("""WITH c AS (SELECT source, doc_id, unnest(['text', 'lang', 'doc_id']) AS field, unnest([text IS NULL OR len(text) > 2000, lang IS NULL OR lang IN ('fr', 'es'), doc_id IS NULL]) AS bad FROM documents)
+SELECT source, field, doc_id AS pos FROM c WHERE bad""")
+def validate_positions(spark, sf_dir):
+    """Every position that breaks a rule, where validate_rows has the counts and the least few."""
+    return V.broken_positions(_checked(spark, sf_dir), DOC_RULES, by=["source"], pos="doc_id")
+
+
 @query("""SELECT doc_id, CASE WHEN lang = 'es' THEN 'file_type is neither FA nor TS' WHEN doc_id % 7 = 0 THEN 'the file''s suffix isn''t known' END AS error FROM documents""")
 def request_checks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

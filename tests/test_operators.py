@@ -222,6 +222,14 @@ def test_validation(spark):
     assert good.count() == 1 and bad.first().broken_fields == ["phrase_id", "text_element"]
 
 
+def test_broken_positions_are_all_there(spark):
+    df = spark.range(60).select(F.lit("hot").alias("source"), F.col("id").alias("index"), F.when(F.col("id") % 2 == 0, F.lit("x" * 3)).alias("text"))
+    rules = [V.Rule("text", False, 2), V.Rule("index", False)]
+    got = sorted(tuple(r) for r in V.broken_positions(df, rules, by=["source"]).collect())
+    assert got == [("hot", "text", i) for i in range(60)]
+    assert {r.field: r.broken for r in V.violations(df, rules, by=["source"]).collect()} == {"text": 60, "index": 0}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
