@@ -26,8 +26,8 @@ STRONG = (
 )
 WEAK = (
     ("key40", r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])"),
-    ("name", r"""(?i:(?:\b|(?<=_))(?:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}"""),
-    ("endpoint", r"""(?i:\b(?:https?|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?))://[^\s"'<>]{4,512}"""),
+    ("name", r"""(?i:(?:\b|(?<=_))(?:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""),
+    ("endpoint", r"""(?i:\b(?:https?|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?))://[^\s"'<>]{4,}"""),
 )
 #: What a kind is in a credential, and what a weak kind needs near it.
 ROLES = {"assign": "secret", "hex": "secret", "key40": "secret", "access": "identifier", "name": "identifier", "endpoint": "endpoint"}

@@ -349,6 +349,13 @@ def test_op6_name_value_lines(spark):
     assert clean[5] == "superuser=bob [assign]" and clean[6] == f"[access] {key}="
 
 
+def test_op6_long_weak_spans(spark):
+    """Endpoints and names are reported to the end of their run, so nothing of them is left in the text."""
+    rows = [(1, f"https://db.example.com/{'p' * 600} password=hunter222"), (2, f"client_id={'w' * 90} password=hunter222")]
+    clean = {r.doc_id: r.clean for r in credential_links.scan(awkward(spark, rows), carry=("text",)).select("doc_id", credential_links.redacted(F.col("text"), F.concat("strong", "linked")).alias("clean")).collect()}
+    assert clean == {1: "[endpoint] [assign]", 2: "[name] [assign]"}
+
+
 def test_op6_is_native(spark, sf):
     plan = queries.op6_credential_links(spark, sf)._jdf.queryExecution().executedPlan().toString() + queries.op9_chat_events(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
