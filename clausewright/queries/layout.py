@@ -49,6 +49,24 @@ def bbox_overlap_pairs(spark, sf_dir):
     return near.where("next_box is not null").select("doc_id", "page_id", "pos", G.boxes_overlap(F.col("box"), F.col("next_box")).alias("overlap"))
 
 
+STATED = f"{BOXES}, ided AS (SELECT *, doc_id * 7 + page_id + pos AS box_id FROM boxes), asked AS (SELECT * FROM ided WHERE box_id % 50 = 0)"
+
+
+def _stated(spark, sf_dir):
+    """All boxes with ``box_id`` (supplier * 7 + page + place), and the stated ones: those whose id is divisible by 50."""
+    b = boxes(spark, sf_dir).withColumn("box_id", F.col("doc_id") * 7 + F.col("page_id") + F.col("pos"))
+    return b, b.where("box_id % 50 = 0")
+
+
+@query(f"""WITH {STATED} SELECT a.doc_id, a.page_id, a.pos, b.pos AS other_pos FROM asked a JOIN boxes b ON b.doc_id = a.doc_id AND b.page_id = a.page_id AND b.pos <> a.pos
+  AND NOT (a.x0 > b.x1 OR b.x0 > a.x1 OR a.y0 > b.y1 OR b.y0 > a.y1)""")
+def bbox_overlaps_on_page(spark, sf_dir):
+    """Each stated box with every box of its page that it overlaps, neighbours in order or not."""
+    b, asked = _stated(spark, sf_dir)
+    others = b.select("doc_id", "page_id", F.col("pos").alias("other_pos"), F.col("box").alias("other_box"))
+    return asked.join(others, ["doc_id", "page_id"]).where((F.col("pos") != F.col("other_pos")) & G.boxes_overlap(F.col("box"), F.col("other_box"))).select("doc_id", "page_id", "pos", "other_pos")
+
+
 @query(f"""WITH {BOXES}, n AS (SELECT *, lag(x0) OVER w AS u0, lag(y0) OVER w AS v0, lag(x1) OVER w AS u1, lag(y1) OVER w AS v1 FROM boxes WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY pos))
 SELECT doc_id, page_id, pos, least(abs(x0 - u1), abs(x0 - u0), abs(x1 - u0), abs(x1 - u1)) <= 60 AND least(abs(y0 - v1), abs(y0 - v0), abs(y1 - v0), abs(y1 - v1)) <= 30 AS adjacent FROM n WHERE u0 IS NOT NULL""")
 def bbox_adjacent(spark, sf_dir):

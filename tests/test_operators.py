@@ -19,7 +19,7 @@ from clausewright.operators import pairs as N
 from clausewright.operators import rows as R
 from clausewright.operators import validate as V
 from clausewright.plans import lifecycle
-from clausewright.queries import clauses
+from clausewright.queries import clauses, layout
 from clausewright.sources import documents, sinks
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -214,6 +214,23 @@ def test_heading_guard_of_long_lines(spark, tmp_path):
     assert len(kept.split()) > 10 and got == {0: kept, 1: None, 3: "short line"}
 
 
+def _box_rows(spark, tmp_path):
+    """Lines of one supplier's page; by hand: box i is at x = price % 900 and y = orderkey % 950."""
+    at = [(0, 0), (300, 300), (1, 1), (600, 600)] + [(20 + i * 3 % 700, 10 + i * 7 % 900) for i in range(60)]
+    rows = [(950 * i + y, 7, 7, 1 + i % 4, 40.0, float(x), "A", "F") for i, (x, y) in enumerate(at)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    return {i + 1: (x, y, x + 40, y + (1 + i % 4) * 5) for i, (x, y) in enumerate(at)}
+
+
+def test_overlaps_of_boxes_that_are_not_neighbours(spark, tmp_path):
+    box = _box_rows(spark, tmp_path)
+    hit = lambda a, b: not (a[0] > b[2] or b[0] > a[2] or a[1] > b[3] or b[1] > a[3])
+    stated = [p for p in box if (7 * 7 + 0 + p) % 50 == 0]
+    want = {(p, o) for p in stated for o in box if o != p and hit(box[p], box[o])}
+    got = [(r.pos, r.other_pos) for r in layout.QUERIES["bbox_overlaps_on_page"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (1, 3) in want
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("f", 1, 0, None, "1", "x" * 600, None), ("f", 2, 0, 1, "2", "ok", None)], "file_id string, index int, text_block_id int, phrase_id int, page_id string, text_element string, list_id string")
     got = {r.field: (r.broken, r.examples) for r in V.violations(df, V.TS_RULES, by=["file_id"]).collect()}
