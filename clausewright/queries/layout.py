@@ -151,3 +151,14 @@ def clause_lookup(spark, sf_dir):
     clauses = b.withColumn("identifier", F.concat_ws(".", "file_id", "pos"))
     first = b.where("pos = 1").select((F.col("file_id") * 10 + F.col("page_id")).alias("id"), "file_id", "page_id", "text", F.array(F.lit(200), F.lit(200), F.lit(400), F.lit(600)).alias("box"))
     return Q.find_clause(first, clauses)
+
+
+@query(f"""WITH {STATED}, q AS (SELECT doc_id || '.' || page_id || '.' || pos AS id, * FROM asked),
+c AS (SELECT q.id, b.pos, b.doc_id || '.' || b.page_id || '.' || b.pos AS identifier, b.text, lower(b.text) = lower(q.text) AS eq, contains(lower(b.text), lower(q.text)) AS inside
+  FROM q JOIN boxes b ON b.doc_id = q.doc_id AND b.page_id = q.page_id AND NOT (b.x0 > q.x1 OR q.x0 > b.x1 OR b.y0 > q.y1 OR q.y0 > b.y1))
+SELECT q.id, b.identifier, b.text FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY eq DESC, inside DESC, pos) AS n FROM c) b ON b.id = q.id AND n = 1""")
+def clause_lookup_stated(spark, sf_dir):
+    """Lookups for every stated box, each by its own box and text."""
+    b, asked = (x.withColumnRenamed("doc_id", "file_id") for x in _stated(spark, sf_dir))
+    name = F.concat_ws(".", "file_id", "page_id", "pos")
+    return Q.find_clause(asked.select(name.alias("id"), "file_id", "page_id", "text", "box"), b.withColumn("identifier", name))

@@ -231,6 +231,13 @@ def test_overlaps_of_boxes_that_are_not_neighbours(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and (1, 3) in want
 
 
+def test_lookup_of_stated_rows(spark, tmp_path):
+    """More than the first box of a page is looked up, each with its own box."""
+    box = _box_rows(spark, tmp_path)
+    got = {r.id for r in layout.QUERIES["clause_lookup_stated"](spark, str(tmp_path)).collect()}
+    assert got == {f"7.0.{p}" for p in box if (7 * 7 + 0 + p) % 50 == 0} == {"7.0.1", "7.0.51"}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("f", 1, 0, None, "1", "x" * 600, None), ("f", 2, 0, 1, "2", "ok", None)], "file_id string, index int, text_block_id int, phrase_id int, page_id string, text_element string, list_id string")
     got = {r.field: (r.broken, r.examples) for r in V.violations(df, V.TS_RULES, by=["file_id"]).collect()}
