@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import least_per_key, materialise, salt_of
+from clausewright.llm.shared import discard, least_per_key, materialise, salt_of
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -59,18 +59,21 @@ def _finish(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, fits: int = 2_000_000, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", *, fits: int = 500_000, rounds: int = 40) -> DataFrame:
     """(node, root) of every node that has an edge to another: root is the least node of its component.
 
     The graph is contracted over the cluster, in a number of rounds logarithmic in its longest path, until nothing
-    changes or no more than ``fits`` edges are left (some 200 MB), which one task then finishes.  Loops and repeated edges don't matter.
+    changes or no more than ``fits`` edges are left (some 100 MB), which one task then finishes.  Loops and repeated edges don't matter.
     """
     at = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     seen = (at.count(), None)
     for _ in range(rounds):
         if seen[0] <= fits:
-            return materialise(_finish(at), "components")
-        at = materialise(_small_star(_large_star(at)), "edges")
+            out = materialise(_finish(at), "components")
+            discard(at)
+            return out
+        before, at = at, materialise(_small_star(_large_star(at)), "edges")
+        discard(before)
         now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

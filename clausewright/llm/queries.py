@@ -37,7 +37,7 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies")
+    return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "links")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

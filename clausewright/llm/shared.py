@@ -1,13 +1,15 @@
 """What the operators of this subpackage share: the shared folder, durable tables and Arrow helpers.
 
-Nothing here writes to a folder of one machine when the session names a shared one: the folder is
-``spark.checkpoint.dir``.  Only where that is unset (tests, notebooks) a temporary folder is made and set.
+Nothing here writes to a folder of one machine on a cluster: the folder is ``spark.checkpoint.dir``.  Only where
+that is unset and the master is local (tests, notebooks) a temporary folder is made and set.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables that materialise() has written and that are still in use.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI below the session's shared folder; each call gives another one."""
@@ -23,6 +28,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="clausewright-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -37,7 +44,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote, once all that reads it has itself been written."""
+    for table in tables:
+        if path := _stored.pop(table, None):
+            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
 
 
 def small_batches(spark: SparkSession, limit: str = "8m") -> None:

@@ -77,18 +77,11 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[n
     return out, at
 
 
-def elements(h: np.ndarray, doc: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text, sorted by text and hash.
-
-    With ``counted``, a hash that a text has c times stands for c elements, one for each unit of its weight; the
-    plain overlap of such elements is then the weighted one of the texts.
-    """
+def elements(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each text, sorted by text and hash; their text numbers; and how often the text has them."""
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    if not counted:
-        return h[fresh], doc[fresh]
     run = np.flatnonzero(fresh)
-    nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-    return mix64(h + nth.astype(np.uint64) * np.uint64(BASE)), doc
+    return h[fresh], doc[fresh], np.diff(np.append(run, len(h)))

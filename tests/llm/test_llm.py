@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -188,15 +189,21 @@ def test_hilbert_curve_is_a_walk():
 # -- 4
 
 
-def shingle_set(text):
+def shingle_weights(text):
     w = WORD.findall(text or "")
-    return frozenset([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []))
+    n = Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []))
+    return {s: 1 + math.log(c) for s, c in n.items()}
+
+
+def weighted_similarity(a, b):
+    common = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+    return common / (sum(a.values()) + sum(b.values()) - common)
 
 
 def classes(docs, similarity=0.8):
     """Least key of the component of each document, by comparing all pairs that share a shingle."""
     names, where = list(docs), defaultdict(list)
-    sets = {d: shingle_set(t) for d, t in docs.items()}
+    sets = {d: shingle_weights(t) for d, t in docs.items()}
     parent = {d: d for d in names}
 
     def find(x):
@@ -209,8 +216,7 @@ def classes(docs, similarity=0.8):
             where[s].append(d)
     pairs = {(a, b) for ds in where.values() for i, a in enumerate(ds) for b in ds[i + 1 :]}
     for a, b in pairs:
-        common = len(sets[a] & sets[b])
-        if not sets[a] and not sets[b] or common and common / (len(sets[a]) + len(sets[b]) - common) >= similarity:
+        if not sets[a] and not sets[b] or weighted_similarity(sets[a], sets[b]) >= similarity - 1e-7:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {d: find(d) for d in names}
@@ -236,21 +242,73 @@ def test_op4(spark, sf):
 
 def test_op4_groups_and_awkward_rows(spark):
     docs = dict(enumerate(near_group(), 100)) | {i: t for i, t in AWKWARD if i is not None and i != 7}
-    got = dart_minhash.near_classes(awkward(spark, [*docs.items(), (2, None), (None, "only one of its kind without key")])).collect()
-    want = classes(docs)
-    assert {(r.doc_id, r.class_id) for r in got if r.doc_id is not None} == set(want.items())
-    assert len(got) == len(docs) + 2 and sum(r.doc_id is None for r in got) == 1
-    kept = dart_minhash.one_of_each(awkward(spark, list(docs.items())))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == [c.split()[0] for c in COLUMNS.split(", ")]
-    assert dart_minhash.near_classes(awkward(spark, [])).count() == 0
+    rows = [*docs.items(), (2, None), (9001, "  \n "), (7, "one text under key seven"), (7, "another text under key seven"), (None, "only one of its kind without key"), (None, docs[100])]
+    want = classes(docs | {9001: ""})
+    found = [dart_minhash.near_classes(awkward(spark, rows), deviations=d).collect() for d in (6.0, None)]
+    for got in found:
+        assert {(r.doc_id, r.class_id) for r in got if r.doc_id not in (None, 7)} == set(want.items())
+        assert len(got) == len(rows) and sorted(r.class_id == want[100] for r in got if r.doc_id is None) == [False, True]
+        assert [(r.class_id, r.copies, r.kept) for r in got if r.doc_id == 7] == [(7, 1, True)] * 2
+        assert all((r.links > 0) == (r.copies < sum(x.class_id == r.class_id for x in got)) for r in got if r.doc_id != 7)
+    kept = dart_minhash.one_of_each(awkward(spark, rows))
+    back = kept.collect()
+    assert Counter(r.doc_id for r in back) == Counter([*set(want.values()), 7, 7, None]) and kept.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+    assert {r.text for r in back if r.doc_id == 7} == {"one text under key seven", "another text under key seven"}
+    assert dart_minhash.near_classes(awkward(spark, [])).count() == 0 and dart_minhash.one_of_each(awkward(spark, [])).count() == 0
+
+
+def test_op4_blocks(spark):
+    """With tiny blocks every bucket is compared block by block, whatever its roots."""
+    docs = dict(enumerate(near_group(90, 40, seed=8), 1))
+    w = {d: shingle_weights(t) for d, t in docs.items()}
+    keys = {s: mixed for mixed, s in enumerate(sorted(set().union(*w.values())))}
+    rows = [(d, *map(list, zip(*sorted((keys[s], x) for s, x in ws.items()), strict=True)), b"\0\0" * 8) for d, ws in w.items()]
+    sets = spark.createDataFrame(rows, "node long, s array<long>, w array<float>, marks binary")
+    for roots in (lambda d: d, lambda d: d % 3, lambda d: 0 if d < 60 else d):
+        at = spark.createDataFrame([(b, d, roots(d)) for d in docs for b in (5, 6)], "bucket long, node long, root long")
+        links = [tuple(r) for r in dart_minhash.links_in_blocks(at, sets, similarity=0.8, k=8, deviations=None, members=7).collect()]
+        assert all(weighted_similarity(w[a], w[b]) >= 0.8 - 1e-6 and roots(a) != roots(b) for a, b in links)
+        parts = []
+        for pairs in (links, [(a, b) for a in docs for b in docs if a < b and roots(a) != roots(b) and weighted_similarity(w[a], w[b]) >= 0.8 - 1e-9]):
+            parent = {roots(d): roots(d) for d in docs}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in pairs:
+                x, y = sorted((find(roots(a)), find(roots(b))))
+                parent[y] = x
+            parts.append({d: find(roots(d)) for d in docs})
+        assert parts[0] == parts[1]
+
+
+def test_op4_recall(spark):
+    """All pairs of planted texts that reach the threshold, by brute force, end in one class."""
+    rnd, docs = random.Random(11), {}
+    for g in range(150):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([60, 120, 400]))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(max(1, int(len(base) * rnd.choice([0.005, 0.01, 0.012])))):
+                w[rnd.randrange(len(w))] = f"z{rnd.randrange(10**6)}"
+            docs[len(docs)] = " ".join(w)
+    sets = {d: shingle_weights(t) for d, t in docs.items()}
+    pairs = [(a, b) for a in docs for b in range(a // 4 * 4, a) if weighted_similarity(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert len(pairs) > 300 and sum(got[a] == got[b] for a, b in pairs) >= 0.999 * len(pairs) and got == classes(docs)
 
 
 def test_signatures_estimate_weighted_similarity():
     rnd = np.random.default_rng(2)
     pool = rnd.integers(0, 2**63, 300).astype(np.uint64)
     h = np.concatenate([np.sort(pool[:200]), np.sort(pool[50:250])])
-    table = dart_minhash.signatures(h, np.repeat([0, 1], 200), 2, 4096)
-    assert abs((table[0] == table[1]).mean() - 150 / 250) < 0.04 and (table != dart_minhash.NONE).all()
+    doc = np.repeat([0, 1], 200)
+    for weight in (np.ones(400), rnd.integers(1, 5, 400).astype(float), rnd.random(400) * 3 + 0.05, 1 + np.log(rnd.integers(1, 9, 400))):
+        table = dart_minhash.signatures(h, weight, doc, 2, 4096)
+        want = weighted_similarity(*(dict(zip(h[doc == d].tolist(), weight[doc == d].tolist(), strict=True)) for d in (0, 1)))
+        assert abs((table[0] == table[1]).mean() - want) < 0.04 and (table != dart_minhash.NONE).all()
 
 
 def test_components(spark):
