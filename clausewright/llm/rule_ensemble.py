@@ -166,10 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return fit(found[names].to_numpy(float), found["y"].to_numpy(float), names, **fitting)
 
 
-def scored(docs: DataFrame, model: tuple[list[Rule], float], *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a column ``out``; statistics live in a struct, so no column name can clash with theirs."""
+def scored(docs: DataFrame, model: tuple[list[Rule], float], *, text: str = "text", out: str = "score", least: float | None = None) -> DataFrame:
+    """``docs`` with a column ``out``; statistics live in a struct, so no column name can clash with theirs.
+
+    With ``least``, only rows of at least that score.  A filter on the score must not be moved below the statistics,
+    where every rule would compute them anew; a column that Spark can't compute twice keeps it above them.
+    """
     stats = statistics(F.col(text))
     rules, intercept = model
     used = {b[0] for r in rules for b in r.bounds}
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(stats[n].alias(n) for n in stats if n in used))
-    return inner.select("row.*", compiled(rules, intercept).alias(out))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(stats[n].alias(n) for n in stats if n in used), F.spark_partition_id().alias("fixed"))
+    score = compiled(rules, intercept)
+    if least is not None:
+        inner = inner.where((score >= least) & (F.col("fixed") >= 0))
+    return inner.select("row.*", score.alias(out))
