@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject (score of 0.3 or more)."""
     model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rule_ensemble.scored(docs, model, out="quality_score").where("quality_score >= 0.3").select(*COLUMNS)
+    return rule_ensemble.scored(docs, model, out="quality_score", least=0.3).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
