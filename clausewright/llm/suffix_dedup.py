@@ -15,8 +15,8 @@ are taken where they are needed:
 3. Each bucket sorts its suffixes by a multikey quicksort: machine words take the place of characters, and all
    parts of a level are split at once.  Whole suffixes are sorted first, and of equal ones only the earliest goes
    on; then the strings at each distance from the anchor.  In a run of equal strings all but the earliest go.
-4. A run of suffixes too large for a bucket is not gathered.  Its strings go on as digests and are compared across
-   buckets by a salted aggregation.
+4. Leading bytes that a sample of the suffixes shows to be hot, and any run of suffixes too large for a bucket, are
+   not gathered.  Their strings go on as digests and are compared across buckets by a salted aggregation.
 
 Defined cases: a null text is the empty one; texts under ``length`` bytes lose nothing; a null key comes after all
 keys; rows with equal key and text are one document, and rows with equal key and other text are ordered by a hash
@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import least_per_key, materialise, mix64, salt_of, small_batches, text_slices
+from clausewright.llm.shared import discard, least_per_key, materialise, mix64, salt_of, small_batches, text_slices
 from clausewright.llm.words import BASE, BASE_INVERSE, BYTE_VALUES, powers, prefix_hash, text_bytes
 
 LAST = (1 << 63) - 1
+#: State of an anchor that its batch has shown to be repeated; others are 1 if a text has them several times, or 0.
+SETTLED = 2
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
@@ -93,18 +95,22 @@ def repeated_anchors(texts: DataFrame, *, length: int, lead: int) -> DataFrame:
             new[1:] = h[1:] != h[:-1]
             run = np.flatnonzero(new)
             many = np.diff(np.append(run, len(h))) > 1
-            known = np.repeat(many, np.diff(np.append(run, len(h))))
             pair = new.copy()
             pair[1:] |= copy[1:] != copy[:-1]
-            known_rows = known & pair
-            # one row for each anchor goes on; those met twice already are settled here
-            cols = [np.concatenate([h[run], h[known_rows]]).view(np.int64), np.concatenate([copy[run], copy[known_rows]]), np.concatenate([many, np.ones(known_rows.sum(), bool)]), np.concatenate([np.zeros(len(run), bool), np.ones(known_rows.sum(), bool)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "copy", "many", "settled"])
+            known = np.flatnonzero(np.repeat(many, np.diff(np.append(run, len(h)))) & pair)
+            # one row for each anchor meets those of other batches; those met twice already are settled here and go by their text
+            h, copy, many = (np.concatenate([x, y]) for x, y in ((h[run], h[known]), (copy[run], copy[known]), (many, np.ones(len(known), bool))))
+            state = np.where(np.arange(len(h)) >= len(run), SETTLED, many).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(copy), pa.array(state)], ["h", "copy", "state"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None, False, False)  # hash, a text, settled already, passed on
         for b in batches:
-            h, copy, many = (np.asarray(b.column(i)) for i in range(3))
+            state = np.asarray(b.column("state"))
+            done = state == SETTLED
+            if done.any():
+                yield b.filter(pa.array(done)).select(["h", "copy"])
+            h, copy, many = np.asarray(b.column("h"))[~done], np.asarray(b.column("copy"))[~done], state[~done] > 0
             if not len(h):
                 continue
             new = np.ones(len(h), bool)
@@ -122,10 +128,10 @@ def repeated_anchors(texts: DataFrame, *, length: int, lead: int) -> DataFrame:
             last = (h[-1], copy[-1], bool(again[-1]), bool(again[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(out_h, np.int64), h[rows]])), pa.array(np.concatenate([np.array(out_copy, np.int64), copy[rows]]))], ["h", "copy"])
 
-    found = materialise(texts.mapInArrow(local, "h long, copy long, many boolean, settled boolean"), "anchors")
-    sent = found.where("not settled").select("h", "copy", "many")
-    met = sent.repartition("h").sortWithinPartitions("h", "copy").mapInArrow(meet, "h long, copy long")
-    return met.unionByName(found.where("settled").select("h", "copy")).groupBy("copy").agg(F.collect_set("h").alias("hashes"))
+    found = texts.mapInArrow(local, "h long, copy long, state byte")
+    settled = F.col("state") == SETTLED
+    met = found.repartition(F.when(settled, F.col("copy")).otherwise(F.col("h"))).sortWithinPartitions(settled, "h", "copy").mapInArrow(meet, "h long, copy long")
+    return met.groupBy("copy").agg(F.collect_set("h").alias("hashes"))
 
 
 def suffixes(texts: DataFrame, *, length: int, lead: int) -> DataFrame:
@@ -252,17 +258,40 @@ def sort_bucket(rows: dict[str, np.ndarray], suffix: list[bytes], group: np.ndar
     return out
 
 
+STARTS = "rank long, copy long, first long, last long, digest binary"
+
+
+def start_rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["rank", "copy", "first", "last", "digest"])
+
+
+def string_digests(part: list[dict], length: int) -> list[tuple]:
+    """Each string of some suffixes, as a start with its digest."""
+    out = []
+    for x in part:
+        for k in range(x["strings"]):
+            d = hashlib.blake2b(x["suffix"][k : k + length], digest_size=16).digest()
+            out.append((x["rank"], x["copy"], x["start"] + k, x["start"] + k, d))
+    return out
+
+
+def hot_leading(rows: DataFrame, *, least: int, sample: int = 100_000, share: float = 0.001) -> DataFrame:
+    """(leading): leading bytes that, by a sample, a share of all rows and at least ``least`` rows have; 1 / ``share`` or so at most."""
+    n = rows.count()
+    step = max(1, n // sample)
+    counts = rows.where(F.pmod(F.xxhash64("rank", "copy", "start"), F.lit(step)) == 0).groupBy("leading").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") * step >= max(n * share, least)).select("leading")
+
+
 def sort_suffixes(rows: DataFrame, *, length: int, lead: int, chunk: int = 8192, most: int = 100_000) -> DataFrame:
     """(rank, copy, first, last, digest): starts of strings to remove; rows with a digest are yet to be compared."""
-    names = ["rank", "copy", "first", "last", "digest"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         held_leading, overflow = None, None
 
-        def send(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names)
+        digests = lambda part: string_digests(part, length)
 
         def settle(part: list[dict]) -> list[tuple]:
             num = {k: np.array([x[k] for x in part], np.int64) for k in ("rank", "copy", "start", "strings", "anchor")}
@@ -270,108 +299,119 @@ def sort_suffixes(rows: DataFrame, *, length: int, lead: int, chunk: int = 8192,
             group = np.array([groups.setdefault(x["leading"], len(groups)) for x in part])
             return [(*map(int, f), None) for f in sort_bucket(num, [x["suffix"] for x in part], group, length, lead)]
 
-        def digests(part: list[dict]) -> list[tuple]:
-            out = []
-            for x in part:
-                for k in range(x["strings"]):
-                    d = hashlib.blake2b(x["suffix"][k : k + length], digest_size=16).digest()
-                    out.append((x["rank"], x["copy"], x["start"] + k, x["start"] + k, d))
-            return out
-
         for b in batches:
             for x in b.to_pylist():
                 if x["leading"] != held_leading:
                     if len(held) >= chunk and overflow is None:
-                        yield send(settle(held))
+                        yield start_rows(settle(held))
                         held = []
                     elif overflow is not None:
-                        yield send(digests(held))
+                        yield start_rows(digests(held))
                         held, overflow = [], None
                     held_leading, since = x["leading"], len(held)
                 held.append(x)
                 if overflow is not None and len(held) >= chunk:
-                    yield send(digests(held))
+                    yield start_rows(digests(held))
                     held = []
                 elif overflow is None and len(held) - since >= most:
                     if since:
-                        yield send(settle(held[:since]))
-                    yield send(digests(held[since:]))
+                        yield start_rows(settle(held[:since]))
+                    yield start_rows(digests(held[since:]))
                     held, overflow = [], x["leading"]
         if held:
-            yield send(digests(held) if overflow is not None else settle(held))
+            yield start_rows(digests(held) if overflow is not None else settle(held))
 
     buckets = rows.repartitionByRange("leading").sortWithinPartitions("leading")
-    return buckets.mapInArrow(bucket, "rank long, copy long, first long, last long, digest binary")
+    return buckets.mapInArrow(bucket, STARTS)
 
 
-def repeated_strings(rows: DataFrame, *, length: int, lead: int, **bucket) -> DataFrame:
+def repeated_strings(rows: DataFrame, *, length: int, lead: int, hot: int = 2048, **bucket) -> DataFrame:
     """(rank, copy, first, last): starts of all strings to remove, from suffixes()."""
-    found = materialise(sort_suffixes(rows.where("suffix is not null"), length=length, lead=lead, **bucket), "repeats")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                yield start_rows(string_digests(b.slice(a, 1024).to_pylist(), length))
+
+    whole = rows.where("suffix is not null")
+    often = F.broadcast(hot_leading(whole, least=hot))
+    sorted_ = sort_suffixes(whole.join(often, "leading", "left_anti").select(*rows.columns), length=length, lead=lead, **bucket)
+    dealt = whole.join(often, "leading", "left_semi").select("rank", "copy", "start", "strings", "suffix").mapInArrow(spread, STARTS)
+    found = materialise(sorted_.unionByName(dealt), "repeats")
     across = found.where("digest is not null").select("digest", F.struct("rank", "copy", "first").alias("at")).withColumn("salt", salt_of("at"))
     earliest = least_per_key(across, "digest", "at", "least").drop("copies")
     later = across.join(earliest, ["digest", "salt"]).where("at != least").select("at.rank", "at.copy", "at.first", F.col("at.first").alias("last"))
     local = rows.where("suffix is null").select("rank", "copy", F.col("start").alias("first"), (F.col("start") + F.col("strings") - 1).alias("last"))
-    return found.where("digest is null").drop("digest").unionByName(later).unionByName(local)
-
-
-def cut_out(docs: DataFrame, length: int, whole_chars: bool = False) -> DataFrame:
-    """(rank, copy, n_removed, n_spans, kept) of (rank, copy, text, starts: array of (first, last)).
-
-    With ``whole_chars``, a character of which a cut has left a part goes too, so that ``kept`` is text.
+    starts = found.where("digest is null").drop("digest").unionByName(later).unionByName(local)
+    starts = materialise(starts.groupBy("rank", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("starts")), "starts")
+    discard(rows, found)
+    return starts
+
+
+def _left(raw: bytes, starts: list[dict] | None, length: int, whole_chars: bool) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal removed runs and what is left of a text, of whose strings those from ``starts`` go."""
+    parts, at, n, total, end = [], 0, 0, 0, -1
+    for x in starts or ():
+        lo, hi = x["first"], x["last"] + length
+        if lo > end:
+            parts.append(raw[at:lo])
+            n += 1
+            total += hi - lo
+        else:
+            total += max(0, hi - end)
+        end = at = max(end, hi)
+    if not n:
+        return 0, 0, raw
+    parts.append(raw[at:])
+    return total, n, b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if whole_chars else b"".join(parts)
+
+
+def cut_out(docs: DataFrame, carry: list[str], *, length: int, digest: bool, whole_chars: bool) -> DataFrame:
+    """(key, carry.., n_bytes, n_removed, n_spans, kept or kept_sha256) of rows (key, carry.., text, starts, whole).
+
+    ``starts`` are structs (first, last) in order, or null; a row that is ``whole`` goes whole.  With
+    ``whole_chars``, a character of which a cut has left a part goes too, so that ``kept`` is text.
     """
+    kinds = dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans, kept = [], [], []
-            for text, starts in zip(b.column("text"), b.column("starts"), strict=True):
+            out = []
+            for text, starts, whole in zip(b.column("text"), b.column("starts"), b.column("whole"), strict=True):
                 raw = text.as_py().encode()
-                ranges = sorted((x["first"], x["last"] + length) for x in starts.as_py())
-                parts, at, n, total = [], 0, 0, 0
-                end = -1
-                for lo, hi in ranges:
-                    if lo > end:
-                        parts.append(raw[at:lo])
-                        n += 1
-                        total += hi - lo
-                    else:
-                        total += max(0, hi - end)
-                    end = at = max(end, hi)
-                removed.append(total)
-                spans.append(n)
-                parts.append(raw[at:])
-                kept.append(b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if whole_chars else b"".join(parts))
-            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("copy"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["rank", "copy", "n_removed", "n_spans", "kept"])
-
-    return docs.select("rank", "copy", "text", "starts").mapInArrow(cut, "rank long, copy long, n_removed long, n_spans long, kept binary")
+                removed, spans, left = (len(raw), 1, b"") if whole.as_py() else _left(raw, starts.as_py(), length, whole_chars)
+                out.append((len(raw), removed, spans, hashlib.sha256(left).hexdigest() if digest else left))
+            form = pa.string() if digest else pa.binary()
+            cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), form))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", *carry)), *cols], ["key", *carry, *names])
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("key", *carry)) + f", n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digest else 'binary'}"
+    return docs.select("key", *carry, "text", "starts", "whole").mapInArrow(cut, schema)
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100, lead: int = 32, carry: tuple[str, ...] = (), digest: bool = False, whole_chars: bool = False, **bucket) -> DataFrame:
     """What is left of each text: key, n_bytes, n_removed, n_spans, then ``kept`` (its bytes) and ``carry`` columns.
 
-    With ``digest``, kept_sha256 takes the place of ``kept``; texts that lose nothing are then not moved.
+    With ``digest``, kept_sha256 takes the place of ``kept``.  Texts move twice: to their anchors that occur again, and to
+    the starts of what goes; nothing else that is written holds a whole text.
     """
     small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
+    carried = [f"carry_{c}" for c in carry]
     rows = docs.select(F.col(key).alias("key"), whole.alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    rows = rows.withColumns({"rank": F.coalesce(F.col("key").cast("long"), F.lit(LAST)), "sha": F.unhex(F.sha2("text", 256)), "n_bytes": F.octet_length("text").cast("long")})
+    rows = rows.withColumns({"rank": F.coalesce(F.col("key").cast("long"), F.lit(LAST)), "sha": F.unhex(F.sha2("text", 256))})
     rows = rows.withColumns({"copy": F.xxhash64("sha"), "salt": salt_of("rank")})
-    long_ = rows.where(F.col("n_bytes") >= length)
+    long_ = rows.where(F.octet_length("text") >= length)
     firsts = materialise(least_per_key(long_.select("sha", "rank", "salt"), "sha", "rank", "first"), "firsts")
     one = firsts.groupBy("sha").agg(F.first("first").alias("rank")).select("rank", F.xxhash64("sha").alias("copy"))
     again = repeated_anchors(long_.select("copy", "text"), length=length, lead=lead)
-    asked = one.join(again, "copy")
-    texts = materialise(long_.select("rank", "copy", "sha", "text").join(asked, ["rank", "copy"]).dropDuplicates(["rank", "copy"]).drop("sha"), "texts")
+    texts = long_.select("rank", "copy", "text").join(one.join(again, "copy"), ["rank", "copy"]).dropDuplicates(["rank", "copy"])
     found = materialise(suffixes(texts, length=length, lead=lead), "suffixes")
-    starts = repeated_strings(found, length=length, lead=lead, **bucket).groupBy("rank", "copy").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    results = cut_out(texts.select("rank", "copy", "text").join(starts, ["rank", "copy"]), length, whole_chars)
-    copies = long_.select("sha", "salt", "rank", "copy", "n_bytes").join(firsts.drop("copies"), ["sha", "salt"]).where("rank != first")
-    copies = copies.dropDuplicates(["rank", "copy"]).select("rank", "copy", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    changed = results.unionByName(copies)
-    base = rows.select("key", "rank", "copy", "n_bytes", *(f"carry_{c}" for c in carry), (F.lower(F.hex("sha")) if digest else F.encode("text", "UTF-8")).alias("whole"))
-    if digest:
-        changed = changed.withColumn("kept", F.sha2("kept", 256))
-    out = base.join(changed, ["rank", "copy"], "left").select(
-        F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept", "whole").alias("kept_sha256" if digest else "kept"), *(F.col(f"carry_{c}").alias(c) for c in carry),
-    )
-    return out
+    starts = repeated_strings(found, length=length, lead=lead, **bucket)
+    copies = long_.select("sha", "salt", "rank", "copy").join(firsts.drop("copies"), ["sha", "salt"]).where("rank != first").select("rank", "copy").distinct()
+    cuts = starts.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    asked = rows.select("key", *carried, "text", "rank", "copy").join(cuts, ["rank", "copy"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    out = cut_out(asked, carried, length=length, digest=digest, whole_chars=whole_chars)
+    kept = "kept_sha256" if digest else "kept"
+    return out.select(F.col("key").alias(key), "n_bytes", "n_removed", "n_spans", kept, *(F.col(f"carry_{c}").alias(c) for c in carry))

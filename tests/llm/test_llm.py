@@ -345,13 +345,24 @@ def test_op5(spark, sf):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op5_suffix_dedup(spark, sf).collect()} == want
 
 
-@pytest.mark.parametrize("bucket", [{}, {"chunk": 2, "most": 3}])
+@pytest.mark.parametrize("bucket", [{}, {"chunk": 2, "most": 3}, {"hot": 2}])
 def test_op5_awkward_rows(spark, bucket):
-    """With tiny buckets every run of suffixes overflows and is compared across buckets."""
+    """With tiny buckets every run of suffixes overflows, and with a low bound hot ones go the other way: all are compared across buckets.
+
+    A null key comes last, equal rows are one document, and texts under one key go by a hash of theirs.
+    """
     rows = [(i, t) for i, t in AWKWARD if i is not None and i not in (2, 7)] + [(11, "tail " * 60), (12, "z" * 99), (13, "z" * 101), (14, LONG[:3000])]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(awkward(spark, [*rows, (2, None), (2, None)]), digest=True, **bucket).collect()}
-    want = dict(zip([i for i, _ in sorted(rows)], without_repeats([t for _, t in sorted(rows)]), strict=True)) | {2: without_repeats([None])[0]}
-    assert got == want
+    same_key = [(7, "x"), (7, "under key seven " * 20), (7, SHARED + "seven " * 30)]
+    more = [(2, None), (2, None), (None, "no key " * 40 + SHARED), (14, LONG[:3000])]
+    got = Counter((r.doc_id, *tuple(r)[1:]) for r in suffix_dedup.remove_repeats(awkward(spark, [*rows, *same_key, *more]), digest=True, **bucket).collect())
+    wanted = []
+    for sevens in (same_key, [same_key[0], same_key[2], same_key[1]]):
+        order = sorted(rows + sevens[:1], key=lambda x: x[0])
+        at = next(i for i, x in enumerate(order) if x[0] == 7)
+        order = order[:at] + sevens + order[at + 1 :] + [more[2]]
+        want = [(i, *x) for (i, _), x in zip(order, without_repeats([t for _, t in order]), strict=True)]
+        wanted.append(Counter([*want, *[(2, *without_repeats([None])[0])] * 2, *[x for x in want if x[0] == 14]]))
+    assert got in wanted
     assert suffix_dedup.remove_repeats(awkward(spark, []), digest=True).count() == 0
 
 
