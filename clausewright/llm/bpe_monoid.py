@@ -36,13 +36,14 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class BpeTree:
     """Encodes and decodes by halves.  ``leaf`` and ``window`` are code points; results don't depend on them."""
 
-    def __init__(self, path: str, pattern: str, leaf: int = 16384, window: int = 64):
+    def __init__(self, path: str, pattern: str, leaf: int = 256, window: int = 64):
         import regex
         import tiktoken
 
         ranks = ranks_of(path)
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.token = {i: b for b, i in ranks.items()}
+        self.bytes_of = {i: len(b) for b, i in ranks.items()}
         self.leaf, self.window = max(leaf, 1), max(window, 4)
         # where a piece starts whatever stands further off
         self.hard = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
@@ -113,10 +114,10 @@ class BpeTree:
         run = self.count_start(b, right[:end])
         begin = len(left) - next((i for i, c in enumerate(reversed(left)) if self.in_run(c) != kind), len(left))
         if begin < len(left) and begin > 0 and left[begin - 1] in "' \t\n" or begin == 0:
-            begin_tokens = self.count_start(list(reversed(a)), left[begin:])
+            begin_tokens = self.count_end(a, left[begin:])
             mine = begin_tokens - (begin_tokens > 8) * 4  # stay clear of a contraction or blank at the piece's start
         else:
-            mine = self.count_start(list(reversed(a)), left[begin:])
+            mine = self.count_end(a, left[begin:])
         i, j = min(8, mine), min(8, run)
         while True:
             merged = self.piece(b"".join(self.token[t] for t in a[len(a) - i :] + b[:j]))
@@ -134,15 +135,23 @@ class BpeTree:
         return a[: len(a) - i] + merged + b[j:]
 
     def count_start(self, ids: list[int], text: str) -> int:
-        """How many tokens at the start of ``ids`` (in either direction) the text's bytes take."""
+        """How many tokens at the start of ``ids`` the text's bytes take."""
         left, n = len(text.encode("utf-8", "surrogatepass")), 0
         while left > 0:
-            left -= len(self.token[ids[n]])
+            left -= self.bytes_of[ids[n]]
             n += 1
         return n
 
+    def count_end(self, ids: list[int], text: str) -> int:
+        """How many tokens at the end of ``ids`` the text's bytes take."""
+        left, n = len(text.encode("utf-8", "surrogatepass")), 0
+        while left > 0:
+            n += 1
+            left -= self.bytes_of[ids[-n]]
+        return n
+
     def cut_end(self, ids: list[int], text: str) -> list[int]:
-        return ids[: len(ids) - self.count_start(ids[::-1] if len(ids) < 4096 else list(reversed(ids[-4 * len(text) - 4 :])), text)]
+        return ids[: len(ids) - self.count_end(ids, text)]
 
     def cut_start(self, ids: list[int], text: str) -> list[int]:
         return ids[self.count_start(ids, text) :]
@@ -154,7 +163,7 @@ class BpeTree:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
-def encode_column(docs: DataFrame, *, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", leaf: int = 16384, window: int = 64, digests: bool = False) -> DataFrame:
+def encode_column(docs: DataFrame, *, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", leaf: int = 256, window: int = 64, digests: bool = False) -> DataFrame:
     """(key, n_tokens, ids, decoded), or with ``digests`` (key, n_tokens, ids_sha256, decoded_sha256).
 
     A narrow pass: each text is encoded, and its ids decoded again, in the task that reads it.

@@ -2,7 +2,8 @@
 
 A log row says what happened to a message: ``delta`` appends text, ``edit`` replaces it, ``regenerate`` starts it over.
 Logs are partitioned by conversation and message, sorted by sequence and folded to final messages; a conversation's
-messages, in order, are rendered.  Folding by message first keeps what one group holds to a message's own events.
+messages, in order, are rendered.  A conversation's log is thus folded in two steps: messages first, so that a
+conversation with very many events is dealt over tasks, then the few that are left of it.
 
 The template marks a system turn as ``<<SYS>>..<</SYS>>``, a user turn as ``[INST]..[/INST]``, an assistant turn as ``<s>..</s>``
 and any other role as ``<ROLE name>..</ROLE>``.  In texts and names the characters that marks begin or end with, and the
@@ -90,14 +91,25 @@ def under_mask(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda p: unescaped(F.substring(formatted, p["start"] + 1, p["end"] - p["start"]))), "")
 
 
-def events_of_turns(rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", delta: int = 1024) -> DataFrame:
-    """A stream's log of finished turns: each text in deltas of at most ``delta`` code points, by (turn, tie, piece)."""
+def events_of_turns(rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", delta: int = 1024, draft: int = 32) -> DataFrame:
+    """A stream's log of finished turns: each text in deltas of at most ``delta`` code points, by (turn, tie, piece).
+
+    Every turn was begun otherwise: a first delta, the text's first ``draft`` code points reversed, was taken back.  An
+    assistant's turn was then regenerated and streamed anew; in another's, an edit put the true first piece in its place.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     tie = F.row_number().over(Window.partitionBy("conversation", "turn").orderBy("role", "text"))
     named = rows.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.col(role).alias("role"), whole.alias("text"))
     named = named.withColumn("message", F.struct("turn", tie.alias("tie")))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(delta)), lambda at: F.substring("text", at + 1, F.lit(delta)))
-    return named.select("conversation", "message", "role", F.posexplode(pieces).alias("sequence", "text")).withColumn("kind", F.lit("delta"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(delta))
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    piece = lambda at: F.substring("text", at + 1, F.lit(delta))
+    deltas = F.transform(starts, lambda at: event("delta", piece(at)))
+    begun = event("delta", F.reverse(F.substring("text", 1, draft)))
+    again = F.concat(F.array(begun, event("regenerate", F.lit(None).cast("string"))), deltas)
+    edited = F.concat(F.array(begun, event("edit", piece(F.lit(0)))), F.slice(deltas, 2, F.size(deltas)))
+    log = F.when(F.col("role") == "assistant", again).otherwise(edited)
+    return named.select("conversation", "message", "role", F.posexplode(log).alias("sequence", "event")).select("conversation", "message", "role", "sequence", "event.text", "event.kind")
 
 
 def chats(events: DataFrame) -> DataFrame:

@@ -112,7 +112,8 @@ class RankedTokenizer:
     A word's end is written as a blank after it, so that the file's tokens become byte strings whose ranks are the
     order of its merges.  Merging by the rank of the joined string is merging by the rank of the pair if each token's
     own string is encoded as that token; tokens for which the file's own model says otherwise can't come from any text,
-    and are left out.  Other texts (apostrophes, other scripts, superscript digits) go to CachedTokenizer.
+    and are left out.  Other texts (apostrophes, other scripts, superscript digits, strings that the file names as tokens
+    of their own, which it matches before anything else) go to CachedTokenizer.
     """
 
     LETTER, DIGIT, OTHER, BLANK = range(4)
@@ -126,7 +127,8 @@ class RankedTokenizer:
         self.slow = CachedTokenizer(path)
         self.vocabulary = self.slow.vocabulary
         with open(path) as f:
-            spec = json.load(f)["model"]
+            whole = json.load(f)
+        spec, self.added = whole["model"], [t["content"] for t in whole.get("added_tokens", [])]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         end = spec["end_of_word_suffix"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
@@ -165,7 +167,7 @@ class RankedTokenizer:
             data = np.frombuffer(text.encode("latin-1"), np.uint8)
         except UnicodeEncodeError:
             return None
-        if "'" in text or any(c in text for c in "²³¹¼½¾"):
+        if "'" in text or any(c in text for c in "²³¹¼½¾") or any(t in text for t in self.added):
             return None
         kind = self.kind[data]
         digit = kind == self.DIGIT

@@ -5,6 +5,7 @@ Every line with a word is held against rules, each of which looks at that line (
 * ``symbols``: more than ``most_symbols`` marks of ``#*$%&|<>`` or ``!`` for each word;
 * ``shouting``: at least five words, and upper-case letters more than ``most_upper`` of its letters;
 * ``navigation``: at least two words and a separator ``|`` for each ``per_separator`` words;
+* ``unfinished``: at least ``fewest_unfinished`` words, and no sentence mark at its end or at that of any of its words;
 * ``boilerplate``: a known phrase of licences, cookies and notices;
 * ``repeated``: an earlier line of the text is equal;
 * ``stuttering``: at least ten words, most of which equal the word before.
@@ -33,6 +34,9 @@ SYMBOLS = b"#*$%&|<>"
 # Phrases that mark a line as boilerplate.
 BOILERPLATE = re.compile(rb"(?i)licensed under|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|copyright \(c\)|lorem ipsum|javascript (?:is|must be) (?:enabled|disabled)")
 
+# Marks that end a sentence, or close what a sentence may end with.
+SENTENCE_ENDS = ".!?:;…。！？\"')]}”’»」』"
+
 
 def _table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -45,6 +49,19 @@ IS_START[0x80:0xC0] = False  # bytes that go on a code point
 IS_UPPER, IS_LOWER = _table(bytes(range(0x41, 0x5B))), _table(bytes(range(0x61, 0x7B)))
 
 
+def _ends_sentence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words have a sentence mark as their last code point."""
+    out = np.zeros(len(ends), bool)
+    for mark in SENTENCE_ENDS:
+        raw = mark.encode()
+        at = ends - len(raw)
+        same = at >= starts
+        for i, b in enumerate(raw):
+            same &= data[np.maximum(at + i, 0)] == b
+        out |= same
+    return out
+
+
 def _sums(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """How many flags lie in each of the ranges between ``cuts``."""
     total = np.concatenate([[0], np.cumsum(flags)])
@@ -80,7 +97,7 @@ def repeated_window_words(h: np.ndarray, doc: np.ndarray, width: int = 3) -> np.
     return out
 
 
-def judge(part: pa.RecordBatch, *, most_symbols: float, most_upper: float, per_separator: float, most_lost: float) -> dict[str, np.ndarray]:
+def judge(part: pa.RecordBatch, *, most_symbols: float, most_upper: float, per_separator: float, fewest_unfinished: int, most_lost: float) -> dict[str, np.ndarray]:
     """Counts and verdicts of the texts of a batch, and ``line`` arrays (first byte, end, fails) of their lines."""
     data, offsets = text_bytes(part.column("text"))
     n_docs = part.num_rows
@@ -108,8 +125,12 @@ def judge(part: pa.RecordBatch, *, most_symbols: float, most_upper: float, per_s
     stutter = np.diff(np.concatenate([[0], np.cumsum(again)])[np.searchsorted(starts, cuts)])
     fails = repeated | (_sums(IS_NOISE[data], cuts) > most_symbols * n_words) | ((n_words >= 5) & (upper > most_upper * (upper + lower)))
     fails |= (n_words >= 2) & (_sums(data == 0x7C, cuts) * per_separator >= n_words) | (n_words >= 10) & (2 * stutter > n_words)
-    for m in BOILERPLATE.finditer(data.tobytes()):
-        fails[np.searchsorted(cuts, m.start(), "right") - 1] = True
+    finished = np.concatenate([[0], np.cumsum(_ends_sentence(data, starts, ends))])[np.searchsorted(starts, cuts)]
+    fails |= (n_words >= fewest_unfinished) & (np.diff(finished) == 0)
+    raw = data.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):  # no match runs from one text into the next
+        for m in BOILERPLATE.finditer(raw, a, b):
+            fails[np.searchsorted(cuts, m.start(), "right") - 1] = True
     fails &= full
     per = lambda of, where: np.bincount(where, of, n_docs).astype(np.int64)
     counts = np.bincount(doc, minlength=n_docs)
@@ -127,7 +148,7 @@ def judge(part: pa.RecordBatch, *, most_symbols: float, most_upper: float, per_s
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_lost"]
 
 
-def clean_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_symbols: float = 0.3, most_upper: float = 0.7, per_separator: float = 3.0, most_lost: float = 0.4, cleaned: bool = True) -> DataFrame:
+def clean_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_symbols: float = 0.3, most_upper: float = 0.7, per_separator: float = 3.0, fewest_unfinished: int = 8, most_lost: float = 0.4, cleaned: bool = True) -> DataFrame:
     """Counts and verdicts of every text, and with ``cleaned`` the text without its failing lines.
 
     A narrow pass over the whole of each text; arrays hold about a megabyte of text at a time.
@@ -139,7 +160,7 @@ def clean_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
-                found = judge(part, most_symbols=most_symbols, most_upper=most_upper, per_separator=per_separator, most_lost=most_lost)
+                found = judge(part, most_symbols=most_symbols, most_upper=most_upper, per_separator=per_separator, fewest_unfinished=fewest_unfinished, most_lost=most_lost)
                 cols = [part.column(0), *(pa.array(found[c]) for c in COUNTS)]
                 if cleaned:
                     data, cuts, line_doc, fails, _ = found["line"]

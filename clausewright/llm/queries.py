@@ -77,7 +77,8 @@ def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(_table(spark, sf_dir, "documents"), cleaned=False).drop("chars_lost")
+    found = clean_lines(_table(spark, sf_dir, "documents"))
+    return found.withColumn("cleaned_sha256", F.sha2("cleaned", 256)).drop("cleaned")
 
 
 ALL = (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup, op6_credential_links, op7_rule_ensemble, op8_bpe_monoid, op9_chat_events, op10_line_cleaning)

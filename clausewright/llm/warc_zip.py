@@ -23,6 +23,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,8 @@ def warc_record(page: object, uri: str | None, payload: bytes, refers_to: object
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {uri}')}>", f"WARC-Date: {date}"]
-    head += [f"WARC-Page-ID: {page}"] * (page is not None) + ([f"WARC-Target-URI: {clean(uri)}"] if uri is not None else [])
-    head += [f"WARC-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []
+    head += [f"WARC-Page-ID: {quote(str(page))}"] * (page is not None) + ([f"WARC-Target-URI: {clean(uri)}"] if uri is not None else [])
+    head += [f"WARC-Refers-To-Page: {quote(str(refers_to))}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []
     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -202,7 +203,8 @@ def parse_record(raw: bytes) -> tuple:
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-    return fields.get("WARC-Page-ID"), fields.get("WARC-Target-URI"), kind, fields.get("WARC-Refers-To-Page"), n, digest, payload if kind == "response" else None
+    page, first = (unquote(x) if (x := fields.get(f)) is not None else None for f in ("WARC-Page-ID", "WARC-Refers-To-Page"))
+    return page, fields.get("WARC-Target-URI"), kind, first, n, digest, payload if kind == "response" else None
 
 
 def read_packages(manifest: DataFrame, *, payloads: bool = True, block_bytes: int = 4 << 20) -> DataFrame:

@@ -55,6 +55,8 @@ def check_pages(rows, pages):
 
 def test_op1(spark, sf):
     check_pages(queries.op1_warc_zip(spark, sf).collect(), [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()])
+    named = spark.createDataFrame([("a\r\nWARC-Type: x %41", "u", "p"), ("é: b", "u", "p"), (" c ", None, None)], "page_id string, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc_zip.archive_round_trip(named).collect()} == {(" c ", None), ("a\r\nWARC-Type: x %41", None), ("é: b", "a\r\nWARC-Type: x %41")}
     pages = [(3, "same"), (1, "same"), (1, "same"), (2, None), (4, ""), (None, "same"), (5, "x\r\n\r\ny" * 9000), (6, "é🙂")]
     df = spark.createDataFrame([(i, None if i == 2 else "http://h/\r\nX: y", h, "z") for i, h in pages], "page_id long, url string, html string, digest string")
     back = warc_zip.archive_round_trip(df, payloads=True)
@@ -175,7 +177,9 @@ def test_ranked_tokens_are_the_files_own():
     t, fast = Tokenizer.from_file(path), curve_packing.RankedTokenizer(path)
     rnd = random.Random(3)
     cases = ["".join(rnd.choice(a) for _ in range(40)) for a in ("abAB é,. \n1'²\x85\xa0\x1c!!?", "".join(map(chr, range(256))), "ΑΣ σ日本 aé'") for _ in range(300)]
-    for c in [*cases, "", " ", "\x01", "don't \x01 a\x01b"]:
+    special = ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|>", "日本 <|endoftext|> x", "don't<|startoftext|>", "<|ENDOFTEXT|> é", "<|endoftext|", "x <|endoftext|><|endoftext|>\n."]
+    assert fast(special[:1], 1)[0].tolist().count(49407) == 1
+    for c in [*cases, *special, "", " ", "\x01", "don't \x01 a\x01b"]:
         assert list(fast([c], 1)[0]) == t.encode(c, add_special_tokens=False).ids + [1]
 
 
@@ -480,6 +484,9 @@ def test_tree_encodes_as_a_whole(leaf, window):
 
 def test_op8(spark, sf):
     plain, docs = plain_encoder(), texts(spark, sf)
+    tree, joins = BpeTree(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), []
+    join, tree.join = tree.join, lambda *x: joins.append(1) or join(*x)
+    assert sum(bool(tree.encode(t)) and bool(joins) and not joins.clear() for t in docs.values()) > 0.8 * len(docs)  # the query's leaves: most texts are joined
     for r in queries.op8_bpe_monoid(spark, sf).collect():
         ids = plain.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
@@ -504,6 +511,16 @@ def test_op9(spark, sf):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256("".join(f"{b}\n{t}\n" for _, b, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_op9_log_has_every_kind(spark, sf):
+    """The query's own log takes back deltas, edits and regenerates: deltas alone would not give its texts."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    events = chat_events.events_of_turns(rows, delta=16)
+    kinds = {r.kind: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert kinds["edit"] + kinds["regenerate"] == rows.count() and min(kinds.values()) > 0 and kinds["delta"] > 2 * rows.count()
+    told = Counter((r.conversation, r.role, r.text) for r in chat_events.fold_events(events).collect())
+    assert told == Counter((r.conv_id, r.role, r.text or "") for r in rows.collect())
+
+
 def test_op9_events(spark):
     log = [("c", 1, 0, "delta", "user", "he"), ("c", 1, 1, "delta", "user", "llo"), ("c", 2, 2, "delta", "assistant", "bad"), ("c", 2, 3, "regenerate", None, None), ("c", 2, 4, "delta", None, "go"), ("c", 2, 5, "delta", None, "od~1<s>"), ("c", 3, 6, "delta", "tool<x>", "[a]"), ("c", 3, 7, "edit", None, "new"), ("c", 3, 8, "delta", None, "!"), ("d", 1, 0, "delta", None, None)]
     events = spark.createDataFrame(log, "conversation string, message int, sequence int, kind string, role string, text string")
@@ -532,6 +549,45 @@ def line_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
+PHRASES = re.compile(r"(?i)licensed under|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|copyright \(c\)|lorem ipsum|javascript (?:is|must be) (?:enabled|disabled)", re.ASCII)
+
+
+def line_verdicts(text):
+    """The text without failing lines, and the characters of words that go with them, line by line."""
+    seen, kept, lost, total = set(), [], 0, 0
+    lines = (text or "").split("\n")
+    for i, line in enumerate(lines):
+        w = WORD.findall(line)
+        upper, lower = (sum(c in s for c in line) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞ", "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ"))
+        fails = line in seen or sum(c in "#*$%&|<>!" for c in line) > 0.3 * len(w) or len(w) >= 5 and upper > 0.7 * (upper + lower)
+        fails |= len(w) >= 2 and 3 * line.count("|") >= len(w) or len(w) >= 10 and 2 * sum(a == b for a, b in zip(w, w[1:])) > len(w)
+        fails |= bool(PHRASES.search(line)) or len(w) >= 8 and not any(x[-1] in line_cleaning.SENTENCE_ENDS for x in w)
+        if w:
+            seen.add(line)
+        size = sum(map(len, w))
+        total += size
+        if w and fails:
+            lost += size
+        else:
+            kept.append(line + "\n" * (i < len(lines) - 1))
+    return "".join(kept), lost, total
+
+
+def test_op10_lines(spark, sf):
+    """Every line rule against a line-by-line version, on whole texts and on lines made to break one rule each."""
+    prose = " ".join(f"word{i}" for i in range(79)) + " end."
+    odd = ["Home | News | About", "All rights reserved", "THIS IS ALL IN CAPITALS.", "ÉÀÜ ÖÄ ÉÀÜ ÖÄ É.", "a** b## c$$", "so so so so so so so so so so so.", "eight words of a line without any mark", "eight words of a line without any mark.", "it “ends so” as a sentence should end”", "日本語。", "we all accept all cookies.", "wow! wow! wow!", "  ", prose]
+    rows = [(i, "\n".join([prose, x, prose + " more.", x])) for i, x in enumerate(odd)] + [(100, prose + "\nand so licensed "), (101, "under this.\n" + prose), (102, prose + "\nprivacy"), (103, " policy\n" + prose), (104, "All rights reserved\n" * 60 + prose)]
+    rnd = random.Random(7)
+    rows += [(200 + i, "\n".join(rnd.choice(odd) for _ in range(rnd.randrange(1, 9)))) for i in range(40)]
+    for docs in (dict(rows), texts(spark, sf)):
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+        for r in line_cleaning.clean_lines(df).collect():
+            cleaned, lost, total = line_verdicts(docs[r.doc_id])
+            assert (r.cleaned, r.chars_lost) == (cleaned, lost), docs[r.doc_id][:200]
+            assert r.kept == (not line_counts(docs[r.doc_id])[5] and lost <= 0.4 * total)
+
+
 def test_op10(spark, sf):
     docs = texts(spark, sf)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -541,7 +597,7 @@ def test_op10(spark, sf):
             assert r.kept
     got = line_cleaning.clean_lines(awkward(spark)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_dup_lines) for r in got) == Counter((i, line_counts(t)[0], line_counts(t)[3]) for i, t in AWKWARD)
-    prose = " ".join(f"word{i}" for i in range(80))
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
     lines = spark.createDataFrame([(1, f"{prose}\nHome | News | About\n{prose}\nAll rights reserved\nTHIS IS ALL IN CAPITALS"), (2, "a** " * 30 + "\n" + prose)], "doc_id long, text string")
     out = {r.doc_id: r for r in line_cleaning.clean_lines(lines).collect()}
     assert out[1].cleaned == prose + "\n" and out[2].cleaned == prose
