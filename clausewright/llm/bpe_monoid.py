@@ -36,7 +36,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class BpeTree:
     """Encodes and decodes by halves.  ``leaf`` and ``window`` are code points; results don't depend on them."""
 
-    def __init__(self, path: str, pattern: str, leaf: int = 256, window: int = 64):
+    def __init__(self, path: str, pattern: str, leaf: int = 256, window: int = 16):
         import regex
         import tiktoken
 
@@ -46,7 +46,8 @@ class BpeTree:
         self.bytes_of = {i: len(b) for b, i in ranks.items()}
         self.leaf, self.window = max(leaf, 1), max(window, 4)
         # where a piece starts whatever stands further off
-        self.hard = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+        edge = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})"
+        self.hard, self.hard_from_end = regex.compile(edge), regex.compile("(?r)" + edge)
         self.known: dict[bytes, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -73,11 +74,8 @@ class BpeTree:
         """The last hard edge in the first ``size`` code points; the text's end counts as one."""
         if size >= len(text):
             return len(text)
-        at = None
-        for m in self.hard.finditer(text, 1, size + 1):
-            if m.start() <= size:
-                at = m.start()
-        return at
+        m = self.hard_from_end.search(text, 0, size + 1)
+        return m.start() if m else None
 
     def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
         if not left or not right:
@@ -163,7 +161,7 @@ class BpeTree:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
-def encode_column(docs: DataFrame, *, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", leaf: int = 256, window: int = 64, digests: bool = False) -> DataFrame:
+def encode_column(docs: DataFrame, *, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", leaf: int = 256, window: int = 16, digests: bool = False) -> DataFrame:
     """(key, n_tokens, ids, decoded), or with ``digests`` (key, n_tokens, ids_sha256, decoded_sha256).
 
     A narrow pass: each text is encoded, and its ids decoded again, in the task that reads it.
