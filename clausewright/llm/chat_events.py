@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from clausewright.llm.shared import between, pieces_of, running, with_bound
+
 # Escapes (the escape character first; it is undone last), and the marks of the roles.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), (">", "~3"))
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -65,16 +67,8 @@ def rendered(messages: DataFrame) -> DataFrame:
     turn = F.struct("message", role.alias("role"), body.alias("body"), opening.alias("opening"), closing.alias("closing"))
     chats = messages.groupBy("conversation").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     sizes = F.transform("turns", lambda t: F.struct(F.length(t["opening"]).alias("a"), F.length(t["body"]).alias("n"), F.length(t["closing"]).alias("b"), (t["role"] == "assistant").alias("on")))
-    place = "array<struct<start:int,end:int>>"
-    loss = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["a"] + s["n"] + s["b"]).alias("at"),
-            F.when(s["on"], F.concat(acc["out"], F.array(F.struct((acc["at"] + s["a"]).alias("start"), (acc["at"] + s["a"] + s["n"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    said = lambda at, s: F.when(s["on"], F.struct((at + s["a"]).alias("start"), (at + s["a"] + s["n"]).alias("end")))
+    loss = running(sizes, F.lit(0), lambda at, s: at + s["a"] + s["n"] + s["b"], said, "struct<start:int,end:int>")
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["opening"], t["body"], t["closing"])), "")
     return chats.select("conversation", text.alias("formatted"), loss.alias("loss"))
 
@@ -88,7 +82,7 @@ def read_back(formatted: Column) -> Column:
 
 def under_mask(formatted: Column, loss: Column) -> Column:
     """The unescaped texts under the loss mask, one after another."""
-    return F.array_join(F.transform(loss, lambda p: unescaped(F.substring(formatted, p["start"] + 1, p["end"] - p["start"]))), "")
+    return with_bound(pieces_of(formatted), lambda pieces: F.array_join(F.transform(loss, lambda p: unescaped(between(pieces, p["start"], p["end"]))), ""))
 
 
 def events_of_turns(rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", delta: int = 1024, draft: int = 32) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import materialise
+from clausewright.llm.shared import between, materialise, pieces_of, running, with_bound
 
 # The strong kinds in report order, with the group that is measured and its least length.
 STRONG = (
@@ -49,14 +49,12 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0)
     sizes = F.transform(F.regexp_extract_all(text, rx, F.lit(group)), F.length) if group else F.transform(found, F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.zip_with(F.arrays_zip(F.transform(found, F.length).alias("n"), sizes.alias("v")), F.slice(gaps, 1, F.size(gaps) - 1), lambda m, g: F.struct(g.alias("gap"), m["n"].alias("n"), m["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (begin + x["n"]).alias("end"))
-        return F.struct((begin + x["n"]).alias("at"), F.when(x["v"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
+        return F.when(x["v"] >= least, F.struct(begin.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (begin + x["n"]).alias("end")))
 
-    return F.when(F.regexp_like(text, rx), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.regexp_like(text, rx), running(steps, F.lit(0), lambda at, x: at + x["gap"] + x["n"], span, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -106,12 +104,11 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", scope: int
 
 def redacted(text: Column, found: Column) -> Column:
     """The text with each run of overlapping spans replaced by the first one's kind in square brackets."""
-    whole = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    mark = lambda at, s: F.when(s["start"] >= at, F.struct(at.alias("a"), s["start"].alias("b"), s["kind"].alias("kind")))
+    marks = running(F.array_sort(found), F.lit(0), lambda at, s: F.greatest(at, s["end"]), mark, "struct<a:int,b:int,kind:string>")
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"))
+    def told(pieces: Column) -> Column:
+        heads = F.transform(marks, lambda m: F.concat(between(pieces, m["a"], m["b"]), F.lit("["), m["kind"], F.lit("]")))
+        return F.concat(F.array_join(heads, ""), between(pieces, F.array_max(F.transform(found, lambda s: s["end"])), F.length(text)))
 
-    done = F.aggregate(F.array_sort(found), start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    return F.when(F.size(found) > 0, with_bound(pieces_of(text), told)).otherwise(text)

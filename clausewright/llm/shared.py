@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,45 @@ def least_per_key(df: DataFrame, key: str, value: str, out: str, count: str = "c
 def salt_of(*columns: str, salts: int = 64) -> Column:
     """Which of ``salts`` parts a row goes to, by a hash of other columns than the key."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int").alias("salt")
+
+
+STEP, PIECE = 256, 4096
+
+
+def with_bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas inside look at it again and again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, start: Column, move: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``emit`` makes of each item and the state before it, nulls left out; ``move`` gives the state after it.
+
+    Appending to an array copies it, so items are taken in steps of a few hundred: the cost grows with their number.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(move(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+
+    def many(acc: Column, block: Column) -> Column:
+        now = F.aggregate(block, F.struct(acc["now"]["at"].alias("at"), none.alias("out")), one)
+        return F.struct(now.alias("now"), F.concat(acc["done"], F.array(acc["now"]["out"])).alias("done"))
+
+    first = F.struct(F.struct(start.alias("at"), none.alias("out")).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    begins = lambda xs: F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(STEP))
+    blocks = with_bound(items, lambda xs: F.transform(begins(xs), lambda i: F.slice(xs, i + 1, F.lit(STEP))))
+    made = F.aggregate(blocks, first, many, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"]))))
+    return F.filter(made, lambda x: x.isNotNull())
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces of equal numbers of code points, so that a place far into it is found without a walk."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a <= i < b of a text in pieces."""
+    div = lambda x: F.floor(x / PIECE).cast("int")
+    low = lambda k: F.greatest(a - k * PIECE, F.lit(0))
+    some = F.transform(F.sequence(div(a), div(F.greatest(b - 1, a))), lambda k: F.substring(F.get(pieces, k), low(k) + 1, b - k * PIECE - low(k)))
+    return F.when(a < b, F.array_join(some, "")).otherwise(F.lit(""))

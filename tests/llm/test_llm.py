@@ -1,11 +1,13 @@
 """The ten operators against brute force, on the queries' tables and on awkward rows."""
 
 import base64
+import bisect
 import hashlib
 import io
 import math
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -429,6 +431,38 @@ def test_op6_long_weak_spans(spark):
     assert clean == {1: "[endpoint] [assign]", 2: "[name] [assign]"}
 
 
+def test_op6_dense_texts(spark):
+    """Many candidates in one text, in hot bins and far apart: counts, links and redaction by a plain version, in bounded time."""
+    rnd = random.Random(4)
+    key = lambda: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjk/+") for _ in range(40))
+    parts = [rnd.choice([f"password=hunter{i:05d}", f"user=bob{i}", f"see https://h{i}.example.com/x", f"AKIA{'Q' * 16} {key()}", f" {key()} ", "é🙂 plain words between " * rnd.choice([1, 1, 1, 30])]) for i in range(12000)]
+    docs = {1: " ".join(parts), 2: "user=bob " * 5000, 3: "user=bob " * 5000 + "password=hunter222"}
+    began = time.time()
+    found = credential_links.scan(awkward(spark, list(docs.items())), carry=("text",)).select("doc_id", "strong", "linked", credential_links.redacted(F.col("text"), F.concat("strong", "linked")).alias("clean")).collect()
+    assert time.time() - began < 60
+    weak_rx = [(k, re.compile(rx, re.ASCII)) for k, rx in credential_links.WEAK]
+    for r in found:
+        text = docs[r.doc_id]
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in sorted(r.strong, key=lambda s: (s.start, s.rank))] == base_spans(text)
+        strong = [(s.start, s.end, credential_links.ROLES[s.kind]) for s in r.strong]
+        weak = [(m.start(), m.end(), k) for k, rx in weak_rx for m in rx.finditer(text)]
+        strong.sort()
+        begins = [x[0] for x in strong]
+        weak = [w for w in weak if not any(w[0] < e and s < w[1] for s, e, _ in strong[max(0, bisect.bisect(begins, w[0]) - 9) : bisect.bisect(begins, w[1])])]
+        every = sorted([*strong, *((s, e, credential_links.ROLES[k]) for s, e, k in weak)])
+        ends = [x[0] for x in every]
+        near = lambda w: any(role == credential_links.NEEDS[w[2]] and w[0] - e <= 200 and s - w[1] <= 200 for s, e, role in every[bisect.bisect(ends, w[0] - 900) : bisect.bisect(ends, w[1] + 201)])
+        want = {w for w in weak if near(w)}
+        assert {(s.start, s.end, s.kind) for s in r.linked} == want
+        out, at = [], 0
+        for s in sorted([*r.strong, *r.linked], key=lambda s: (s.start, s.rank)):
+            if s.start >= at:
+                out.append(text[at : s.start] + f"[{s.kind}]")
+            at = max(at, s.end)
+        assert r.clean == "".join(out) + text[at:]
+    assert {r.doc_id: len(r.linked) > 0 for r in found} == {1: True, 2: False, 3: True}
+
+
 def test_op6_is_native(spark, sf):
     plan = queries.op6_credential_links(spark, sf)._jdf.queryExecution().executedPlan().toString() + queries.op9_chat_events(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -447,6 +481,20 @@ def test_op7(spark, sf):
         assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / len(good) / len(bad) > 0.9
 
 
+def test_op7_expression_is_its_rules(spark, sf):
+    """The compiled expression against a plain evaluation of the model, rule by rule, over the whole table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules, intercept = rule_ensemble.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    stats = {r.doc_id: r for r in docs.select("doc_id", *(c.alias(n) for n, c in rule_ensemble.statistics(F.col("text")).items())).collect()}
+    want = {}
+    for i, x in stats.items():
+        z = intercept + sum(rule.weight for rule in rules if all((x[n] <= cut) == upper for n, upper, cut in rule.bounds))
+        want[i] = 1 / (1 + math.exp(-z))
+    assert rules and all(abs(r.score - want[r.doc_id]) < 1e-9 for r in queries.op7_rule_ensemble(spark, sf).collect())
+    kept = rule_ensemble.scored(docs, (rules, intercept), least=0.3).collect()
+    assert {r.doc_id for r in kept} == {i for i, p in want.items() if p >= 0.3} and len(kept[0]) == len(docs.columns) + 1
+
+
 def test_op7_awkward_rows(spark):
     few = spark.createDataFrame([(1, 1), (1, 1), (3, None), (None, 1)], "doc_id long, quality int")
     model = rule_ensemble.train(awkward(spark), few)
@@ -521,6 +569,17 @@ def test_op9_log_has_every_kind(spark, sf):
     assert told == Counter((r.conv_id, r.role, r.text or "") for r in rows.collect())
 
 
+def test_op9_long_conversation_and_clashing_columns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"[{i}] <s> é~{i}" * (1 + i % 3), "k", 1) for i in range(8000)] + [(2, 0, "assistant", "x" * 50_000, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message string, sequence int")
+    began = time.time()
+    got = {r.conversation: r for r in chat_events.chats(chat_events.events_of_turns(df)).select("conversation", chat_events.read_back(F.col("formatted")).alias("turns"), chat_events.under_mask(F.col("formatted"), F.col("loss")).alias("loss")).collect()}
+    assert time.time() - began < 60
+    for c in (1, 2):
+        assert [tuple(t) for t in got[c].turns] == [(x[2], x[3]) for x in rows if x[0] == c]
+        assert got[c].loss == "".join(x[3] for x in rows if x[0] == c and x[2] == "assistant")
+
+
 def test_op9_events(spark):
     log = [("c", 1, 0, "delta", "user", "he"), ("c", 1, 1, "delta", "user", "llo"), ("c", 2, 2, "delta", "assistant", "bad"), ("c", 2, 3, "regenerate", None, None), ("c", 2, 4, "delta", None, "go"), ("c", 2, 5, "delta", None, "od~1<s>"), ("c", 3, 6, "delta", "tool<x>", "[a]"), ("c", 3, 7, "edit", None, "new"), ("c", 3, 8, "delta", None, "!"), ("d", 1, 0, "delta", None, None)]
     events = spark.createDataFrame(log, "conversation string, message int, sequence int, kind string, role string, text string")
