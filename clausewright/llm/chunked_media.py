@@ -78,7 +78,10 @@ def samples(media: bytes) -> bytes:
 
 
 def write_chunks(docs: DataFrame, key: str, text: str, folder: str, *, width: int = 576, least: int = 2048, average: int = 8192, most: int = 65536, pack_bytes: int = 256 << 20, level: int = 3) -> DataFrame:
-    """Recipes: key, n_bytes, media_sha256, media_bytes, and ``chunks``: digest and the place its task has it at."""
+    """Recipes: key, n_bytes, media_sha256, media_bytes, and ``chunks``: digest and the place its task has it at.
+
+    A place names a pack by its file's name in ``folder``: places are sampled and shuffled, so they stay short.
+    """
     small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
@@ -98,8 +101,8 @@ def write_chunks(docs: DataFrame, key: str, text: str, folder: str, *, width: in
                         digest = hashlib.sha256(media[start:end]).digest()
                         if digest not in seen:
                             if sink is None:
-                                name, at = f"{folder}/pack-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}", 0
-                                sink = fs.open_output_stream(open_fs(name)[1])
+                                name, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}", 0
+                                sink = fs.open_output_stream(f"{top}/{name}")
                             packed = squeeze.compress(media[start:end])
                             sink.write(packed)
                             seen[digest] = (name, at, len(packed), end - start)
@@ -137,7 +140,8 @@ def ordered_lists(recipes: DataFrame) -> DataFrame:
 class PackReader:
     """Chunks by place: neighbouring ranges of a pack are read together, files and hot chunks are kept a while."""
 
-    def __init__(self, gap: int = 1 << 16, most: int = 4 << 20):
+    def __init__(self, folder: str, gap: int = 1 << 16, most: int = 4 << 20):
+        self.fs, self.top = open_fs(folder)
         self.files: OrderedDict = OrderedDict()
         self.gap, self.most, self.plain = gap, most, zstandard.ZstdDecompressor()
 
@@ -145,8 +149,7 @@ class PackReader:
         if pack not in self.files:
             if len(self.files) >= 16:
                 self.files.popitem(last=False)[1].close()
-            fs, path = open_fs(pack)
-            self.files[pack] = fs.open_input_file(path)
+            self.files[pack] = self.fs.open_input_file(f"{self.top}/{pack}")
         self.files.move_to_end(pack)
         return self.files[pack]
 
@@ -169,7 +172,7 @@ class PackReader:
         return out
 
 
-def rebuild(lists: DataFrame, feature, *, batch_chunks: int = 512) -> DataFrame:
+def rebuild(lists: DataFrame, feature, folder: str, *, batch_chunks: int = 512) -> DataFrame:
     """Read media back from their lists, verify them, and compute: payload_bytes, payload_sha256, tail_crc32, feature.
 
     ``feature`` takes the samples as an array of bytes and returns a string.  A media that differs from its digest
@@ -178,7 +181,7 @@ def rebuild(lists: DataFrame, feature, *, batch_chunks: int = 512) -> DataFrame:
     near = lists.withColumn("at", F.col("places")[0]["pack"]).repartitionByRange("at", F.col("places")[0]["offset"]).sortWithinPartitions("at", F.col("places")[0]["offset"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = PackReader()
+        packs = PackReader(folder)
         for batch in batches:
             keys = batch.column("media_sha256").to_pylist()
             lists_ = [[(p["pack"], p["offset"], p["size"], p["raw"]) for p in x] for x in batch.column("places").to_pylist()]
@@ -213,31 +216,32 @@ def media_column(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fe
 
     Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
     """
-    recipes = materialise(write_chunks(docs, key, text, shared_dir(docs.sparkSession, "packs"), **chunking), "recipes")
-    back = rebuild(ordered_lists(recipes), feature)
+    folder = shared_dir(docs.sparkSession, "packs")
+    recipes = materialise(write_chunks(docs, key, text, folder, **chunking), "recipes")
+    back = rebuild(ordered_lists(recipes), feature, folder)
     rows = recipes.select("key", "n_bytes", "media_bytes", "media_sha256").withColumn("salt", salt_of("key"))
     back = back.join(rows.select("media_sha256", "salt").distinct(), "media_sha256")
     found = rows.join(back, ["media_sha256", "salt"])
     return found.select(F.col("key").alias(key), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def compact(recipes: DataFrame, folder: str) -> DataFrame:
-    """Rewrite packs with the chosen places alone: (old place, new place) of every chunk that is still referenced."""
+def compact(recipes: DataFrame, packs_folder: str, folder: str) -> DataFrame:
+    """Rewrite the packs of ``packs_folder`` into ``folder`` with the chosen places alone: (old place, new place) of every chunk that is still referenced."""
     chosen = ordered_lists(recipes).select(F.explode("places").alias("p")).select("p.*").distinct().repartition("pack").sortWithinPartitions("pack", "offset")
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
         sinks: dict[str, list] = {}
-        packs = PackReader()
+        packs = PackReader(packs_folder)
         for b in batches:
             rows = []
             for x in b.to_pylist():
                 if x["pack"] not in sinks:
                     for s in sinks.values():
                         s[1].close()
-                    name = f"{folder}/pack-{uuid.uuid4().hex}"
-                    sinks = {x["pack"]: [name, fs.open_output_stream(open_fs(name)[1]), 0]}
+                    name = uuid.uuid4().hex
+                    sinks = {x["pack"]: [name, fs.open_output_stream(f"{top}/{name}"), 0]}
                 s = sinks[x["pack"]]
                 s[1].write(packs.file(x["pack"]).read_at(x["size"], x["offset"]))
                 rows.append({**x, "new_pack": s[0], "new_offset": s[2]})

@@ -107,6 +107,12 @@ def test_op2(spark, sf):
     for r in queries.op2_chunked_media(spark, sf).collect():
         raw, p = padded(want[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        media = f"P5\n576 {len(p) // 576}\n255\n".encode() + p
+        mean = sum(p) / len(p)
+        counts = Counter(b >> 4 for b in p)
+        feature = [round(mean * 100), round(math.sqrt(sum((b - mean) ** 2 * n for b, n in Counter(p).items()) / len(p)) * 100), *(counts[i] for i in range(16))]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert all(abs(int(x) - y) <= 1 for x, y in zip(r.feature.split(","), feature, strict=True))
     got = chunked_media.media_column(awkward(spark), least=64, average=256, most=1024).collect()
     assert Counter((r.doc_id, r.payload_sha256) for r in got) == Counter((i, hashlib.sha256(padded(t)[1]).hexdigest()) for i, t in AWKWARD)
     assert chunked_media.media_column(awkward(spark, [])).count() == 0
@@ -133,7 +139,7 @@ def test_compaction_keeps_chosen_chunks(spark, tmp_path):
     df = awkward(spark).repartition(4)
     recipes = chunked_media.write_chunks(df, "doc_id", "text", f"file://{tmp_path}/a", least=64, average=256, most=1024).cache()
     places = recipes.selectExpr("explode(chunks) c").select("c.digest").distinct().count()
-    assert chunked_media.compact(recipes, f"file://{tmp_path}/b").count() == places
+    assert chunked_media.compact(recipes, f"file://{tmp_path}/a", f"file://{tmp_path}/b").count() == places
 
 
 # -- 3
@@ -680,3 +686,45 @@ def test_pipeline(spark, sf):
     kept = {r.doc_id: r.text for r in at.collect()}
     assert not any(base_spans(t) for t in kept.values() if "password" in t)
     check_pieces(corpus_pipeline.packing(spark, at, sf).collect(), list(kept.items()))
+
+
+def stage_rows(spark):
+    """Documents with nulls in every column, ties, repeated rows, empty and very long texts, and columns whose names the operators use."""
+    import corpus_pipeline
+
+    prose = "The house stood by the river and nobody had lived there since the winter. " * 3
+    texts = [*AWKWARD, (20, prose + "It was cold."), (21, prose + "It was cold."), (22, prose + "It was warm."), (23, SHARED + prose), (24, "Write to user=bob password=hunter222 and wait. " + prose), (25, " ".join(f"long{i % 5000} text." for i in range(60_000)))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key string, copy int, node string, salt int, carry_lang string, rank int, row string, fixed int, score int"
+    rows = [(i, t, None if i in (1, None) else "en", None if i == 20 else "s", None if t is None else len(t), "k", 1, "n", 2, "c", 3, "r", 4, 5) for i, t in texts]
+    return spark.createDataFrame(rows, kinds), corpus_pipeline
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "suffix_dedup", "secrets"])
+def test_pipeline_stage_on_awkward_rows(spark, sf, name):
+    docs, pipeline = stage_rows(spark)
+    stage = dict(pipeline.STAGES)[name]
+    out = stage(spark, docs, sf)
+    assert out.columns == pipeline.COLUMNS and stage(spark, docs.limit(0), sf).count() == 0
+    rows, given = out.collect(), docs.collect()
+    assert Counter(r.doc_id for r in rows) <= Counter(r.doc_id for r in given)
+    by_id = lambda i, found: Counter(r.text for r in found if r.doc_id == i)
+    if name == "quality":
+        assert {(r.doc_id, r.text) for r in rows} <= {(r.doc_id, r.text) for r in given} and all(by_id(i, rows) in (by_id(i, given), Counter()) for i in range(26))
+    elif name == "near_dedup":
+        assert sorted(r.doc_id for r in rows if r.doc_id in (2, 3, 20, 21, 22)) == [2, 20] and by_id(7, rows) == Counter("xy")
+        assert len(by_id(4, rows)) == 1 and not by_id(5, rows) and sum(r.doc_id is None for r in rows) == 1
+    elif name == "suffix_dedup":
+        order = sorted((r for r in given if r.doc_id != 7), key=lambda r: (r.doc_id is None, r.doc_id, r.text or ""))
+        ascii_ = {r.doc_id for r in order if (r.text or "").isascii()} - {None}
+        want = Counter((r.doc_id, x[3]) for r, x in zip(order, without_repeats([r.text for r in order]), strict=True) if r.doc_id in ascii_ and x[0] > x[1] or r.doc_id in (2, 3))
+        assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows if r.doc_id in ascii_) == want and not by_id(5, rows)
+        assert by_id(7, rows) == Counter("xy") and all(r.n_chars in (None, len(r.text)) for r in rows)
+    else:
+        assert len(rows) == len(given) and by_id(2, rows) == by_id(2, given) and by_id(25, rows) == by_id(25, given)
+        assert next(r.text for r in rows if r.doc_id == 24).startswith("Write to [name] [assign] and wait.") and "AKIA" not in next(r.text for r in rows if r.doc_id == 8)
+
+
+def test_pipeline_packing_on_awkward_rows(spark, sf):
+    docs, pipeline = stage_rows(spark)
+    check_pieces(pipeline.packing(spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert pipeline.packing(spark, docs.limit(0), sf).count() == 0
