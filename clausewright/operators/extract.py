@@ -23,14 +23,16 @@ DOC = "doc_id"
 def stack_elements(parsed: DataFrame, *, doc: str = DOC, content: str = "content") -> DataFrame:
     """(doc, text_block_id, text_element, list_id, text, bbox, page_id, pos) of parsed documents with arrays of blocks.
 
-    Positions are made of block, element and item numbers, so no window is needed to number rows.
+    Positions are made of block, element and item numbers, so no window is needed to number rows: ``place`` is an
+    array of the three, and ``pos`` a number for blocks of at most a thousand elements.
     """
     blocks = parsed.select(doc, F.explode(content).alias("b")).select(doc, F.col("b.id").alias("text_block_id"), F.explode("b.elements").alias("e"))
     kind = F.when(F.col("e.is_table"), F.array("e.table_json")).otherwise(F.col("e.text"))
     each = blocks.select(doc, "text_block_id", F.col("e.key").alias("key"), F.col("e.order").alias("order"), F.col("e.list_id").alias("own_id"), F.col("e.bbox").alias("bbox"), F.concat_ws(",", F.transform("e.page_id", lambda p: p.cast("string"))).alias("page_id"), F.posexplode_outer(kind).alias("item", "text"))
     pos = F.col("text_block_id").cast("long") * 1_000_000_000 + F.col("order") * 1_000_000 + F.coalesce("item", F.lit(0))
-    out = each.withColumn("pos", pos)
-    return out.select(doc, "text_block_id", "pos", element_name(F.col("key")).alias("text_element"), F.coalesce("own_id", list_id_of(F.col("key"))).alias("list_id"), "text", "bbox", "page_id")
+    place = F.array(F.col("text_block_id").cast("long"), F.col("order").cast("long"), F.coalesce("item", F.lit(0)).cast("long"))
+    out = each.withColumns({"pos": pos, "place": place})
+    return out.select(doc, "text_block_id", "pos", "place", element_name(F.col("key")).alias("text_element"), F.coalesce("own_id", list_id_of(F.col("key"))).alias("list_id"), "text", "bbox", "page_id")
 
 
 def list_id_of(key: Column) -> Column:
@@ -50,20 +52,35 @@ def from_blocks(blocks: DataFrame, items: DataFrame | None = None) -> DataFrame:
         return rows.withColumn("list_id", F.lit(None).cast("string"))
     joined = rows.join(items.select(DOC, "pos", "items"), [DOC, "pos"], "left")
     each = joined.select("*", F.posexplode_outer("items").alias("n", "i"))
-    return each.select(DOC, "text_block_id", (F.col("pos") * 1000 + F.coalesce("n", F.lit(0))).alias("pos"), "text_element", F.coalesce("i.text", "text").alias("text"), "bbox", "page_id", F.col("i.list_id").alias("list_id"))
+    return each.select(DOC, "text_block_id", F.array(F.col("pos").cast("long"), F.coalesce("n", F.lit(0)).cast("long")).alias("pos"), "text_element", F.coalesce("i.text", "text").alias("text"), "bbox", "page_id", F.col("i.list_id").alias("list_id"))
 
 
 def tidy(rows: DataFrame) -> DataFrame:
-    """Rows of pure punctuation or digits go; bulleted texts have no list id."""
+    """Rows of pure punctuation or digits go; bulleted texts have no list id.
+
+    From here on a position is a path of numbers: parts of a row stand under it, in order, however many they are.
+    """
     pure = r"^\p{Punct}+$|^\d+$"
     bullet = "^(?:" + "|".join(f"\\Q{s}\\E" for s in P.SYMBOLS) + ")"
-    return rows.where(F.col("text").isNotNull() & ~F.col("text").rlike(pure)).withColumn("list_id", F.when(~F.col("text").rlike(bullet), F.col("list_id")))
+    return _paths(rows).where(F.col("text").isNotNull() & ~F.col("text").rlike(pure)).withColumn("list_id", F.when(~F.col("text").rlike(bullet), F.col("list_id")))
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    if "place" in rows.columns:
+        return rows.withColumn("pos", F.col("place")).drop("place")
+    if rows.schema["pos"].dataType.typeName() == "array":
+        return rows
+    return rows.withColumn("pos", F.array(F.col("pos").cast("long")))
 
 
 def _renumber(rows: DataFrame, texts: str) -> DataFrame:
     """Parts of a text as rows of their own, in order; positions stay unique."""
-    each = R.explode_texts(rows, texts)
-    return each.withColumn("pos", F.col("pos") * 64 + F.least(F.coalesce("sub_pos", F.lit(0)), F.lit(63))).drop("sub_pos")
+    each = R.explode_texts(_paths(rows), texts)
+    return each.withColumn("pos", _below(F.coalesce("sub_pos", F.lit(0)))).drop("sub_pos")
+
+
+def _below(n: Column) -> Column:
+    return F.concat("pos", F.array(n.cast("long")))
 
 
 def split_section_and_sub(rows: DataFrame) -> DataFrame:
@@ -71,8 +88,8 @@ def split_section_and_sub(rows: DataFrame) -> DataFrame:
     hit = F.col("text").rlike(P.SECTION_AND_SUB)
     part = lambda n, e: F.struct(F.lit(e).alias("e"), F.trim(F.regexp_extract("text", P.SECTION_AND_SUB, n)).alias("t"))
     whole = F.struct(F.col("text_element").alias("e"), F.col("text").alias("t"))
-    each = rows.select("*", F.posexplode(F.when(hit, F.array(part(1, "section"), part(2, "sub_section"))).otherwise(F.array(whole))).alias("sub_pos", "p"))
-    split = each.withColumns({"text_element": F.col("p.e"), "text": F.col("p.t"), "pos": F.col("pos") * 2 + F.col("sub_pos")}).drop("p", "sub_pos")
+    each = _paths(rows).select("*", F.posexplode(F.when(hit, F.array(part(1, "section"), part(2, "sub_section"))).otherwise(F.array(whole))).alias("sub_pos", "p"))
+    split = each.withColumns({"text_element": F.col("p.e"), "text": F.col("p.t"), "pos": _below(F.col("sub_pos"))}).drop("p", "sub_pos")
     return R.keep_first(split, [DOC, "text_block_id", "text_element", "list_id", "text"], [F.col("pos")])
 
 
@@ -86,16 +103,27 @@ def find_zones(rows: DataFrame) -> DataFrame:
     """Places where the contents, the parties, what ends them, and the first schedule begin, on every row."""
     for pattern, out in ((P.CONTENTS_BEGIN, "contents_at"), (P.PARTIES_BEGIN, "parties_at"), (P.PARTIES_END, "parties_end")):
         rows = R.zone(rows, pattern, out, by=[DOC], pos="pos")
-    rows = rows.withColumn("contents_at", F.coalesce("contents_at", F.lit(0)))
-    titles = F.regexp_extract("text", f"(?i){P.CONTENTS_SCHEDULE_1}", 1)
-    title = F.last(F.when((F.col("text_element") == "table") & (F.col("pos") < F.col("parties_at")), F.nullif(F.trim(titles), F.lit(""))), ignorenulls=True)
-    rows = rows.withColumn("schedule_title", title.over(Window.partitionBy(DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("contents_at", F.coalesce("contents_at", F.array(F.lit(0).cast("long"))))
+    title, under = _schedule_title()
+    rows = rows.withColumn("__under", F.coalesce(under, F.lit(False))).withColumn("schedule_title", title).drop("__under")
     named = F.lower(F.trim("text")) == F.lower("schedule_title")
     starts = F.col("text_element").contains("section") & (F.col("text").rlike(f"(?i){P.FIRST_SCHEDULE}") | F.coalesce(named, F.lit(False))) & ~F.col("text").rlike(f"(?i){P.SECOND_SCHEDULE}") & (F.col("pos") >= F.col("parties_end"))
     rows = rows.withColumn("schedule_at", F.min(F.when(starts, F.col("pos"))).over(Window.partitionBy(DOC)))
     return rows.withColumn("zone", F.when(F.col("pos") >= F.col("schedule_at"), "schedule").when(F.col("pos") >= F.col("parties_end"), "clause").when(F.col("pos") >= F.col("parties_at"), "parties").when(F.col("pos") >= F.col("contents_at"), "contents").otherwise("front"))
 
 
+def _schedule_title() -> tuple[Column, Column]:
+    """The first schedule's title in the table of contents: from the last table, from the last one under a heading of
+    schedules (what that is, as a column to be called ``__under``), or from the last table in its other wording."""
+    order = Window.partitionBy(DOC).orderBy("pos")
+    a_table = (F.col("text_element") == "table") & (F.col("pos") >= F.col("contents_at")) & (F.col("pos") < F.col("parties_at"))
+    under = a_table & (F.lag("text_element").over(order) == "section") & F.lag("text").over(order).rlike("(?i)schedule[s]*")
+    last = lambda which: F.max(F.when(which, F.struct("pos", "text"))).over(Window.partitionBy(DOC))["text"]
+    found = lambda which, p: F.when(last(which).rlike(f"(?i){p}"), F.trim(F.regexp_extract(last(which), f"(?i){p}", 1)))
+    title = F.coalesce(found(a_table, P.CONTENTS_SCHEDULE_1), found(F.col("__under"), P.CONTENTS_SCHEDULE_1_BELOW), found(a_table, P.CONTENTS_SCHEDULE_1B))
+    return F.nullif(title, F.lit("")), under
+
+
 # What is said of a document whose zones can't be found.
 ZONE_ERRORS = [("parties_at", "the opening of the parties clauses couldn't be found"), ("parties_end", "the end of the parties clauses couldn't be found"), ("schedule_at", "the heading of the first schedule couldn't be found")]
 
@@ -182,8 +210,9 @@ FA_COLUMNS = ["index", "text_block_id", "phrase_id", "page_id", "bbox", "section
 
 
 def project(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Output columns; blocks are renumbered by changes of section."""
+    """Output columns; blocks are renumbered by changes of section, rows from 1 in each document."""
     out = X.without_sentinels(rows.drop("text_block_id").withColumnRenamed("section_run", "text_block_id"))
+    out = out.withColumn("pos", F.col("row").cast("long"))
     return out.select(DOC, "pos", *columns)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,28 +126,64 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, query_id: str, row_id: str, by: list[str] | None = None, vector: str = "embedding", blocks: int | None = None, digits: int | None = None) -> DataFrame:
+    """The cosine of two vectors; 0 where one of them has no length."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
+
+
+def _unit(vector: str) -> Column:
+    """A vector at unit length; one without length stays as it is, so that it is as near to all others as 0."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    n = F.sqrt(dot(F.col(vector), F.col(vector)))
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
+def _best_of_block(k: int, digits: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best ``k`` rows of a block for each query of a block: one matrix product."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        form = {"__qid": left.schema.field("__qid").type, "__rid": right.schema.field("__rid").type, "similarity": pa.float64()}
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in form.items()})
+        right = right.sort_by("__rid")
+        q, r = (np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t in (left, right))
+        sim = q @ r.T
+        if digits is not None:
+            sim = np.trunc(sim * 10**digits + np.copysign(0.5, sim)) / 10**digits
+        few, at, best = min(k, len(r)), [], []
+        least = -np.partition(-sim, few - 1, axis=1)[:, few - 1]
+        for i, row in enumerate(sim):
+            some = np.flatnonzero(row >= least[i])
+            some = some[np.argsort(-row[some], kind="stable")[:few]]  # rows stand by id, so ties go to the lesser
+            at.append(np.full(len(some), i))
+            best.append(some)
+        at, best = np.concatenate(at), np.concatenate(best)
+        return pa.table({"__qid": left.column("__qid").take(pa.array(at)), "__rid": right.column("__rid").take(pa.array(best)), "similarity": sim[at, best]})
+
+    return run
+
+
+def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, query_id: str, row_id: str, by: list[str] | None = None, vector: str = "embedding", query_block: int = 4096, row_block: int = 8192, digits: int | None = None) -> DataFrame:
     """(by, query_id, row_id, similarity, rank): the exact ``k`` nearest rows of each query.
 
     Vectors are scaled once, so a pair costs one dot product.  With ``by`` (a document or task) pairs meet in an equi
-    join.  Without it every query meets every row: queries, a stated set, are cut into blocks, rows are dealt over
-    partitions, and each partition keeps its best ``k`` for a query before anything is shuffled.  Nothing is broadcast
-    whose size isn't known.  Ties go to the lesser row id, after rounding to ``digits``.
+    join.  Without it every query meets every row: both are cut into blocks of about ``query_block`` and ``row_block``,
+    a block of queries meets a block of rows in one matrix product, and only the best ``k`` of a block leave it.  The
+    stated queries are copied to each block of rows; rows are copied only if there are more queries than one block holds.
+    Ties go to the lesser row id, after rounding to ``digits``; a vector without length is as near as 0; rows without a vector are left out.
     """
-    norm = lambda df, i, v: df.select(*(by or []), F.col(i).alias(f"__{v}id"), F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector)))).alias(v))
+    norm = lambda df, i, v: df.where(F.col(vector).isNotNull()).select(*(by or []), F.col(i).alias(f"__{v}id"), _unit(vector).alias(v))
     q, r = norm(queries, query_id, "q"), norm(rows, row_id, "r")
     if by:
         pairs = q.join(r, by)
+        sim = dot(F.col("q"), F.col("r"))
+        scored = pairs.select(*by, "__qid", "__rid", (F.round(sim, digits) if digits is not None else sim).alias("similarity"))
     else:
-        n = blocks or 16
-        q = q.withColumn("block", F.pmod(F.xxhash64("__qid"), F.lit(n)))
-        r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-        pairs = q.join(r, "block").drop("block")
-    sim = dot(F.col("q"), F.col("r"))
-    scored = pairs.select(*(by or []), "__qid", "__rid", (F.round(sim, digits) if digits is not None else sim).alias("similarity"))
+        n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((q, query_block), (r, row_block)))
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.select("__qid", F.col("q").alias("v"), F.pmod(F.xxhash64("__qid"), F.lit(n_q)).cast("int").alias("i"), all_of(n_r).alias("j"))
+        right = r.select("__rid", F.col("r").alias("v"), all_of(n_q).alias("i"), F.pmod(F.xxhash64("__rid"), F.lit(n_r)).cast("int").alias("j"))
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((q, "__qid"), (r, "__rid"))]
+        scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_block(k, digits), ", ".join([*kinds, "similarity double"]))
     w = Window.partitionBy(*(by or []), "__qid").orderBy(F.desc("similarity"), "__rid")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(*(by or []), F.col("__qid").alias(query_id), F.col("__rid").alias(row_id), "similarity", "rank")
@@ -289,6 +326,11 @@ def to_arrays(matches: DataFrame) -> DataFrame:
     return matches.withColumns({n: field(f) for n, f in names.items()}).drop("hits")
 
 
+def in_order(matches: DataFrame, *, by: list[str], order: list[str]) -> DataFrame:
+    """Matches as they are read: by task, then in the order of the summary's rows."""
+    return matches.orderBy(*by, *order)
+
+
 def api_rows(matches: DataFrame, task: Column, *, by: list[str], order: list[str], top: int = TOP_N) -> DataFrame:
     """Rows as they are stored: a running id from 0, the task, and a judgement of all false where there are hits."""
     w = Window.partitionBy(*by).orderBy(*order)

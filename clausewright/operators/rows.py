@@ -50,16 +50,23 @@ def parent_caption(df: DataFrame, *, by: list[str], order: list[str]) -> DataFra
 def nearest_ancestors(df: DataFrame, *, by: list[str], pos: str = "pos", list_id: str = "list_id", text: str = "text") -> DataFrame:
     """``parent_list_ids`` and ``parent_list``: for each proper prefix of a list id the row of the block nearest by place.
 
-    Ids are paths such as ``(a)(i)``.  Each prefix becomes a row that is joined to rows of its block with just that id;
-    of several the nearest by row distance counts (the first of two), which may come later.  Missing prefixes are
-    skipped; texts are root-first, with ``: `` between.
+    Ids are paths such as ``(a)(i)``.  Each prefix becomes a row among those of its block with just that id, and sees the
+    last one before it and the next one after it in one sorted pass, so ids that repeat cost no pairs.  The nearer of the
+    two counts (the first if both are as far).  Missing prefixes are skipped; texts are root-first, with ``: `` between.
     """
     parts = F.regexp_extract_all(F.col(list_id), F.lit(r"(\(*\w+\)*\.*)"), F.lit(1))
     depth = F.sequence(F.lit(1), F.size(parts) - 1)
     prefix = F.transform(depth, lambda n: F.array_join(F.slice(parts, F.lit(1), n), ""))
-    asked = df.where(F.size(parts) > 1).select(*by, F.col(pos).alias("child"), F.posexplode(prefix).alias("depth", "prefix"))
-    rows = df.where(F.col(list_id).isNotNull()).select(*by, F.col(list_id).alias("prefix"), F.col(pos).alias("at"), F.col(text).alias("found"))
-    near = asked.join(rows, [*by, "prefix"]).groupBy(*by, "child", "depth", "prefix").agg(F.min_by("found", F.struct(F.abs(F.col("child") - F.col("at")), F.col("at"))).alias("found"))
+    kind = "struct<at:bigint,found:string>"
+    asked = df.where(F.size(parts) > 1).select(*by, F.col(pos).cast("bigint").alias("at"), F.posexplode(prefix).alias("depth", "prefix"), F.lit(None).cast(kind).alias("row"))
+    own = F.struct(F.col(pos).cast("bigint").alias("at"), F.col(text).alias("found")).cast(kind)
+    rows = df.where(F.col(list_id).isNotNull()).select(*by, F.col(pos).cast("bigint").alias("at"), F.lit(None).cast("int").alias("depth"), F.col(list_id).alias("prefix"), own.alias("row"))
+    w = ordered([*by, "prefix"], ["at"])
+    before = F.last("row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("row", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    seen = asked.unionByName(rows).withColumns({"before": before, "after": after}).where("depth is not null")
+    nearer = F.when(F.col("after").isNull() | (F.col("at") - F.col("before.at") <= F.col("after.at") - F.col("at")), F.col("before")).otherwise(F.col("after"))
+    near = seen.withColumn("row", nearer).where("row is not null").select(*by, F.col("at").alias("child"), "depth", "prefix", "row.found")
     items = F.array_sort(F.collect_list(F.struct("depth", "prefix", "found")))
     lists = near.groupBy(*by, F.col("child").alias(pos)).agg(items.alias("__p"))
     joined = df.join(lists, [*by, pos], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausewright.functions import patterns as P
+from clausewright.functions.text import number_word, spaced_pattern
 
 SENTENCE_END = re.compile(r'(?<=[.!?])(?<!\bNo\.)(?<!\bno\.)(?<![A-Z]\.)(?<!\betc\.)(?<!\bi\.e\.)(?<!\be\.g\.)\s+(?=["“A-Z(\[])')
 ITEMS = T.ArrayType(T.StructType([T.StructField("list_id", T.StringType()), T.StructField("text", T.StringType())]))
@@ -24,11 +25,7 @@ def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in SENTENCE_END.split(text)) if s]
 
 
-def delimiter_pattern(delimiters: list[str]) -> str:
-    return "(" + "|".join(re.escape(d) for d in delimiters) + ")"
-
-
-PARAGRAPH = delimiter_pattern(P.PARA_DELIMITERS)
+PARAGRAPH = P.PARA_SPLIT
 PURE = re.compile(rf"^[{re.escape(P.PUNCTUATION)}]+$|^\d+$")
 
 
@@ -131,32 +128,43 @@ def number_kind(number: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def _number_rx() -> re.Pattern:
-    any_ = "|".join(f"(?:{p})" for _, p in P.NUMBERING)
-    after = "".join(f"(?!{re.escape(x)})" for x in P.AFTER_A_REFERENCE)
-    no_capital = "|".join(f"(?:{p})" for n, p in P.NUMBERING if n not in ("A", "XYZ"))
-    bracketed = rf"(?<![^\s\[])\((?:{any_})\)(?!\()(?!:){after}(?!\s*(?:and|or|to)?,?\s*\([a-zA-Z]{{1,3}}\))"
-    right = rf"(?<![^\s\[])(?<!\()\b(?:{any_})\)(?!\()(?!:){after}"
-    dotted = rf"(?<![a-zA-Z]\.)(?<![\d.])\b(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.)"
-    return re.compile(f"({bracketed}|{right}|{dotted})")
+    """Numbers as they may open an item: ``(a)``, ``a)`` or ``1.``, with what may not stand right beside them."""
+    any_ = "|".join(p for _, p in P.NUMBERING)
+    no_capital = "|".join(p for n, p in P.NUMBERING if n not in ("A", "XYZ"))
+    never = "".join(f"(?<!{x})" for x in P.BEFORE_BRACKETS + P.BEFORE_A_REFERENCE)
+    marks = [re.escape(c) for c in P.PUNCTUATION if c not in P.MAY_FOLLOW]
+    after = rf"(?!\()(?!:)(?!{'|'.join(P.AFTER_BRACKETS + marks + P.PREPOSITIONS)})"
+    listed = r"(?<!\b\w\), )(?<!\b\w\w\), )"
+    bracketed = rf"{listed}(?<!\b\w\))(?<!\b\w\w\))(?<![^\s\[]){never}\((?:{any_})\){after}"
+    right = rf"{listed}(?<!\()(?<![^\s\[])(?<!\) and )(?<!\) or ){never}(?:{any_})\){after}"
+    dotted = rf"(?<![a-zA-Z]\.)(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.)"
+    return re.compile(f"(?:{bracketed}|{right}|{dotted})")
 
 
 @lru_cache(maxsize=1)
-def _reference_rx() -> re.Pattern:
-    words = "|".join(re.escape(w) for w in sorted(P.BEFORE_A_REFERENCE, key=len, reverse=True))
-    return re.compile(rf"(?:(?<!\w)(?:{words})|\(\w{{1,2}}\)(?: and| or| to|,)?)\s*$", re.IGNORECASE)
+def _reference_rx() -> tuple[re.Pattern, ...]:
+    """What a text ends with before a reference, and how one goes on after it; for brackets, then for full stops."""
+    words = [w for n in range(100) for w in (number_word(n), number_word(n).capitalize())]
+    counted = [*words, *(rf"\[{w}\]" for w in words), r"\((?:[a-z]{1,5}|[A-Z]{1,5})\)(?: and|,| to| or)"]
+    before = [re.compile(rf"(?:{'|'.join([*own, *P.BEFORE_A_REFERENCE, *counted])})$") for own in (P.BEFORE_BRACKETS, P.BEFORE_A_DOT)]
+    mark = "|".join(rf"{re.escape(c)}$" for c in P.PUNCTUATION if c not in P.MAY_FOLLOW)
+    after = [re.compile("|".join([mark, *x])) for x in (P.PREPOSITIONS + P.AFTER_BRACKETS, P.AFTER_A_DOT)]
+    return (*before, *after)
 
 
 def numbered_pieces(text: str) -> list[tuple[str | None, str]]:
-    """(number, text) pieces: a number counts if no reference word stands before it and it isn't empty."""
+    """(number, text) pieces.  A number that the text before or after it shows to be a reference stays in its text."""
+    bracket_before, dot_before, bracket_after, dot_after = _reference_rx()
+    found = [m for m in _number_rx().finditer(text) if number_kind(m[0].strip("()."))]
     out: list[tuple[str | None, str]] = []
     at, number = 0, None
-    for m in _number_rx().finditer(text):
-        bare = m[0].strip("().")
-        if not bare or number_kind(bare) is None or _reference_rx().search(text[max(0, m.start() - 40) : m.start()]):
+    for m, following in zip(found, [*found[1:], None], strict=False):
+        said, goes_on = text[at : m.start()].strip(), text[m.end() : following.start() if following else len(text)].strip()
+        dotted = m[0].endswith(".")
+        if (dot_before if dotted else bracket_before).search(said) or (goes_on and (dot_after if dotted else bracket_after).match(goes_on)):
             continue
-        body = text[at : m.start()].strip()
-        if number is not None or body:
-            out.append((number, body))
+        if number is not None or said:
+            out.append((number, said))
         at, number = m.end(), m[0]
     out.append((number, text[at:].strip()))
     return out
@@ -248,6 +256,18 @@ def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos"
     return df.select(doc, "block_id", pos, reset, text).groupBy(doc, "block_id").applyInPandas(run, schema)
 
 
+def phrase_items(blocks: DataFrame, *, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """(doc, pos, items): the phrases of a summary's lists and paragraphs, in order, without list ids.
+
+    In blocks whose section is one of those that list things, long sentences part at commas too.
+    """
+    heads = F.max(F.when(F.col("element") == "section", F.col("text").rlike(spaced_pattern(P.SPLIT_WHEN_LONG))))
+    listing = blocks.groupBy(doc, "block_id").agg(F.coalesce(heads, F.lit(False)).alias("__long"))
+    some = blocks.where(F.col("element").isin("list", "paragraph")).join(listing, [doc, "block_id"])
+    none = F.lit(None).cast("string")
+    return some.select(doc, pos, F.transform(phrase_column(F.col("text"), when_long=F.col("__long")), lambda x: F.struct(none.alias("list_id"), x.alias("text"))).alias("items"))
+
+
 def item_phrases(df: DataFrame, keys: list[str], items: str = "items") -> DataFrame:
     """(keys, list_id, n, phrase): the phrases of each numbered item, in order."""
     each = df.select(*keys, F.posexplode(items).alias("n_item", "i")).select(*keys, "n_item", "i.list_id", F.col("i.text").alias("text"))

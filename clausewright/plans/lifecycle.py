@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausewright.functions import patterns as P
 from clausewright.operators import export, extract, feedback, layout, match, tokenise
@@ -42,7 +43,10 @@ def agreement_rows(blocks: DataFrame) -> Read:
 
 
 def summary_rows(blocks: DataFrame, bank: DataFrame) -> Read:
-    rows = extract.extract_summary(extract.from_blocks(blocks.drop("pos").withColumn("pos", F.col("block_id") * 1_000_000 + F.col("n_in_block"))) if "part" not in blocks.columns else extract.from_blocks(blocks), bank)
+    if "part" not in blocks.columns:
+        blocks = blocks.withColumn("part", F.lit(0))
+    blocks = blocks.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_id", "pos", "part")).cast("long"))
+    rows = extract.extract_summary(extract.from_blocks(blocks, tokenise.phrase_items(blocks)), bank)
     return Read(rows, rows.sparkSession.createDataFrame([], "doc_id string, stage string, message string"))
 
 
@@ -80,7 +84,8 @@ def match_rows(ts: DataFrame, fa: DataFrame, *, task: str = "file_id", pos: str
     out = match.inject_rules(out, fa, doc=task, pos=pos, top=top)
     out = match.schedule_priority(out, fa, doc=task, compat=compat)
     out = out.withColumn("hits", match.trim(F.col("hits"), top))
-    return match.decorated(out, match.heading_by_identifier(fa, doc=task, pos=pos), doc=task)
+    out = match.decorated(out, match.heading_by_identifier(fa, doc=task, pos=pos, compat=compat), doc=task)
+    return match.in_order(out, by=[task], order=[pos])
 
 
 def figures(fb: DataFrame, *, by: str = "task_id", compat: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -100,7 +100,13 @@ def test_list_items():
     assert [i for i, _ in items] == ["(a)", "(a)(i)", "(b)"] and last == "(b)"
     assert K.list_items("(ii) more", "(a)(i)")[0][0][0] == "(a)(ii)"
     assert K.list_items("as in Clause (a) above")[0] == [(None, "as in Clause (a) above")]
-    assert [i for i, _ in K.list_items("1. one 2. two")[0]] == ["1.", "2."]
+    assert [i for i, _ in K.list_items("1. red 2. blue")[0]] == ["1.", "2."]
+    # a number word before a number makes it a reference, as does a word such as Clause, a list of letters or a percentage
+    assert K.list_items("1. one 2. two")[0] == [("1.", "one 2. two")]
+    for whole in ("as in Clause (a) above", "limbs (a), (b) and (c) of it", "under paragraph (b) to (d)", "within (a) the period", "a rate of 2. 5% a year", "twenty (a) days", "see (a) and (b)"):
+        assert [i for i, _ in K.list_items(whole)[0]] == [None], whole
+    assert [i for i, _ in K.list_items("(a) fees; (b) costs; and (c) taxes")[0]] == ["(a)", "(b)", "(c)"]
+    assert [i for i, _ in K.list_items("a) fees b) costs")[0]] == ["a)", "b)"]
     assert K.list_items("")[0] == [(None, "")]
 
 
