@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from clausewright.functions import patterns as P
 from clausewright.functions.text import number_word, spaced_pattern
 
-SENTENCE_END = re.compile(r'(?<=[.!?])(?<!\bNo\.)(?<!\bno\.)(?<![A-Z]\.)(?<!\betc\.)(?<!\bi\.e\.)(?<!\be\.g\.)\s+(?=["“A-Z(\[])')
+SENTENCE_END = re.compile(r'(?<=[.!?])(?<!\A\d\.)(?<!\A\d\d\.)(?<!\bNo\.)(?<!\bno\.)(?<![A-Z]\.)(?<!\betc\.)(?<!\bi\.e\.)(?<!\be\.g\.)\s+(?=["“A-Z(\[])')
 ITEMS = T.ArrayType(T.StructType([T.StructField("list_id", T.StringType()), T.StructField("text", T.StringType())]))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clausewright.queries import clauses, feedback, layout, matching, texts
+from clausewright.queries import cases, clauses, feedback, layout, matching, texts
 
-_MODULES = (matching, feedback, texts, layout, clauses)
+_MODULES = (matching, feedback, texts, layout, clauses, cases)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

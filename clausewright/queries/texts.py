@@ -45,7 +45,14 @@ def strip_punct(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", T.strip_punctuation(F.col("text")).alias("bare"))
 
 
-@query()
+def _light(col: str) -> str:
+    col = f"translate({col}, '!\"#%&''*+-/;<=>?@[]^_`{{|}}~', '')"
+    for c in (r"\(", r"\)", ":", ",", r"\.", r"\\", r"\$"):
+        col = f"regexp_replace({col}, '{c}{c}+', '{c if len(c) > 1 and c != r'\\\\' and False else c.replace(chr(92), '') if c != chr(92) * 2 else chr(92) * 2}', 'g')"
+    return col
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, {_light('text')} AS light FROM lines")
 def collapse_repeats(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", T.light_punctuation(F.col("text")).alias("light"))
 
@@ -55,7 +62,8 @@ def strip_leading_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.drop_clause_number(F.col("o_orderpriority")).alias("name"))
 
 
-@query()
+@query("""WITH j AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') AS joined FROM part)
+SELECT p_partkey, regexp_replace(joined, '([a-z])([A-Z])', '\\1 \\2', 'g') AS name FROM j""")
 def camel_split(spark, sf_dir):
     joined = F.regexp_replace(F.initcap("p_name"), " ", "")
     return table(spark, sf_dir, "part").select("p_partkey", T.split_camel_case(joined).alias("name"))
