@@ -196,7 +196,7 @@ def table_to_text(col: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def join_separated_letters(s: pd.Series) -> pd.Series:
-    """``F ORM OF`` to ``FORM OF``: a lone capital joins the word after it, until none is left or five passes are done.
+    """``F ORM OF`` to ``FORM OF``: a lone capital joins the word after it, until none is left or six passes are done.
 
     A, I and a stay words, except I and A inside a heading after a word that takes no number; a word that ends with
     a dash joins the next one.

@@ -105,10 +105,10 @@ def unicode_forms(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", X.unicode_normalise(F.concat(F.lit("ﬁ\t\t"), "s_name", F.lit(" ½ Ä"))).alias("text"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'FORM OF ' || s_name WHEN 1 THEN 'SCHEDULE A ' || s_name WHEN 2 THEN 'NON-RECOURSE ' || s_name ELSE s_name END AS heading FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'FORM OF ' || s_name WHEN 1 THEN 'SCHEDULE A Form ' || s_name WHEN 2 THEN 'NON-RECOURSE ' || s_name ELSE s_name END AS heading FROM supplier")
 def separated_letters(spark, sf_dir):
     k = F.col("s_suppkey") % 4
-    text = F.when(k == 0, F.concat(F.lit("F ORM OF "), "s_name")).when(k == 1, F.concat(F.lit("S CHEDULE A "), "s_name")).when(k == 2, F.concat(F.lit("N ON-RECOURSE "), "s_name")).otherwise(F.col("s_name"))
+    text = F.when(k == 0, F.concat(F.lit("F ORM OF "), "s_name")).when(k == 1, F.concat(F.lit("SCHEDULE A F orm "), "s_name")).when(k == 2, F.concat(F.lit("N ON-RECOURSE "), "s_name")).otherwise(F.col("s_name"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", X.join_separated_letters(text).alias("heading"))
 
 
