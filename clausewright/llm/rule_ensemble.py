@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "#*$%&|<>"
+#: A word that the next one repeats; words are runs without blanks.
+SAME_AS_LAST = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))"
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -41,7 +43,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "upper": (F.length(t) - lower) / n,
         "word_chars": (n - (n_words - 1)) / n_words,
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "same_as_last": F.size(F.filter(F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda w, last: w == last), lambda x: x)) / n_words,
+        "same_as_last": F.regexp_count(t, F.lit(SAME_AS_LAST)) / n_words,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "line_words": n_words / F.size(lines),
     }
