@@ -128,40 +128,63 @@ def number_kind(number: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def _number_rx() -> re.Pattern:
-    """Numbers as they may open an item: ``(a)``, ``a)`` or ``1.``, with what may not stand right beside them."""
+    """Numbers as they may open an item: ``(a)``, ``a)`` or ``1.``"""
     any_ = "|".join(p for _, p in P.NUMBERING)
     no_capital = "|".join(p for n, p in P.NUMBERING if n not in ("A", "XYZ"))
-    never = "".join(f"(?<!{x})" for x in P.BEFORE_BRACKETS + P.BEFORE_A_REFERENCE)
-    marks = [re.escape(c) for c in P.PUNCTUATION if c not in P.MAY_FOLLOW]
-    after = rf"(?!\()(?!:)(?!{'|'.join(P.AFTER_BRACKETS + marks + P.PREPOSITIONS)})"
-    listed = r"(?<!\b\w\), )(?<!\b\w\w\), )"
-    bracketed = rf"{listed}(?<!\b\w\))(?<!\b\w\w\))(?<![^\s\[]){never}\((?:{any_})\){after}"
-    right = rf"{listed}(?<!\()(?<![^\s\[])(?<!\) and )(?<!\) or ){never}(?:{any_})\){after}"
-    dotted = rf"(?<![a-zA-Z]\.)(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.)"
-    return re.compile(f"(?:{bracketed}|{right}|{dotted})")
+    bracketed, right = (rf"(?<![^\s\[]){mark}(?:{any_})\)(?!\()(?!:)" for mark in (r"\(", r"(?<!\()"))
+    return re.compile(rf"(?:{bracketed}|{right}|(?<![a-zA-Z]\.)(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.))")
+
+
+class _Ends:
+    """Whether a text ends with one of some patterns; those that are plain strings are compared as such."""
+
+    def __init__(self, patterns: list[str]):
+        plain = [p for p in patterns if not re.search(r"\\[a-zA-Z]|[\[{|]", p.replace(r"\[", ""))]
+        self.plain = tuple(re.sub(r"\\(.)", r"\1", p) for p in plain)
+        rest = [p for p in patterns if p not in plain]
+        self.rest = re.compile(rf"(?:{'|'.join(rest)})$")
+
+    def __call__(self, text: str) -> bool:
+        return text.endswith(self.plain) or bool(self.rest.search(text[-24:]))
 
 
 @lru_cache(maxsize=1)
-def _reference_rx() -> tuple[re.Pattern, ...]:
-    """What a text ends with before a reference, and how one goes on after it; for brackets, then for full stops."""
+def _neighbours() -> dict:
+    """What shows a number to be a reference: right beside it (near), and in the texts before and after it."""
     words = [w for n in range(100) for w in (number_word(n), number_word(n).capitalize())]
     counted = [*words, *(rf"\[{w}\]" for w in words), r"\((?:[a-z]{1,5}|[A-Z]{1,5})\)(?: and|,| to| or)"]
-    before = [re.compile(rf"(?:{'|'.join([*own, *P.BEFORE_A_REFERENCE, *counted])})$") for own in (P.BEFORE_BRACKETS, P.BEFORE_A_DOT)]
-    mark = "|".join(rf"{re.escape(c)}$" for c in P.PUNCTUATION if c not in P.MAY_FOLLOW)
-    after = [re.compile("|".join([mark, *x])) for x in (P.PREPOSITIONS + P.AFTER_BRACKETS, P.AFTER_A_DOT)]
-    return (*before, *after)
+    marks = [re.escape(c) for c in P.PUNCTUATION if c not in P.MAY_FOLLOW]
+    alone = [rf"{m}$" for m in marks]
+    listed = [r"\b\w\w?\), ", r"\b\w\w?\)"]
+    return {
+        "near_before": _Ends([*listed, *P.BEFORE_BRACKETS, *P.BEFORE_A_REFERENCE]), "near_after": re.compile("|".join(P.AFTER_BRACKETS + marks + P.PREPOSITIONS)),
+        "before": {False: _Ends(P.BEFORE_BRACKETS + P.BEFORE_A_REFERENCE + counted), True: _Ends(P.BEFORE_A_DOT + P.BEFORE_A_REFERENCE + counted)},
+        "after": {False: re.compile("|".join(alone + P.PREPOSITIONS + P.AFTER_BRACKETS)), True: re.compile("|".join(alone + P.AFTER_A_DOT))},
+    }
+
+
+def _may_open(text: str, m: re.Match) -> bool:
+    """Whether nothing right beside a number speaks against it; full stops are judged by the pieces around them alone."""
+    if number_kind(m[0].strip("().")) is None:
+        return False
+    if m[0].endswith("."):
+        return True
+    beside, before = _neighbours(), text[max(0, m.start() - 24) : m.start()]
+    if not m[0].startswith("(") and before.endswith((") and ", ") or ")):
+        return False
+    return not beside["near_before"](before) and not beside["near_after"].match(text, m.end())
 
 
 def numbered_pieces(text: str) -> list[tuple[str | None, str]]:
     """(number, text) pieces.  A number that the text before or after it shows to be a reference stays in its text."""
-    bracket_before, dot_before, bracket_after, dot_after = _reference_rx()
-    found = [m for m in _number_rx().finditer(text) if number_kind(m[0].strip("()."))]
+    beside = _neighbours()
+    found = [m for m in _number_rx().finditer(text) if _may_open(text, m)]
     out: list[tuple[str | None, str]] = []
     at, number = 0, None
     for m, following in zip(found, [*found[1:], None], strict=False):
         said, goes_on = text[at : m.start()].strip(), text[m.end() : following.start() if following else len(text)].strip()
         dotted = m[0].endswith(".")
-        if (dot_before if dotted else bracket_before).search(said) or (goes_on and (dot_after if dotted else bracket_after).match(goes_on)):
+        if beside["before"][dotted](said) or (goes_on and beside["after"][dotted].match(goes_on)):
             continue
         if number is not None or said:
             out.append((number, said))
