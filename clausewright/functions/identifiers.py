@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausewright.functions import patterns as P
+from clausewright.functions.text import bound
 
 
 def _present(col: Column) -> Column:
@@ -42,11 +43,15 @@ def clause_identifier(
     meets = lambda c: c.rlike(r"\d$") & items.rlike(r"^\d")
     defining = is_definition_row(section, sub_section, text)
     not_parties = F.coalesce(sec != "0", F.lit(True))
-    after = F.when(sched.isNotNull() | (not_parties & term.isNotNull()) | meets(whole), F.concat(whole, F.lit("_"), items)).when(not_parties & term.isNull(), F.concat(whole, items)).otherwise(whole)
-    stem = F.regexp_extract(whole, r"^([^-]*)", 1)
-    rest = F.substring(whole, F.length(stem) + 1, F.length(whole))
-    before = F.when((stem == "Parties") & (rest != ""), whole).otherwise(F.concat(stem, F.when(meets(stem), F.lit("_")).otherwise(F.lit("")), items, rest))
-    return F.when(items.isNull(), whole).when(defining, after).otherwise(before)
+
+    def listed(whole: Column) -> Column:
+        after = F.when(sched.isNotNull() | (not_parties & term.isNotNull()) | meets(whole), F.concat(whole, F.lit("_"), items)).when(not_parties & term.isNull(), F.concat(whole, items)).otherwise(whole)
+        stem = F.regexp_extract(whole, r"^([^-]*)", 1)
+        rest = F.substring(whole, F.length(stem) + 1, F.length(whole))
+        before = F.when((stem == "Parties") & (rest != ""), whole).otherwise(F.concat(stem, F.when(meets(stem), F.lit("_")).otherwise(F.lit("")), items, rest))
+        return F.when(items.isNull(), whole).when(defining, after).otherwise(before)
+
+    return bound(whole, listed)
 
 
 def identifier_type(identifier: Column, compat: bool = True) -> Column:

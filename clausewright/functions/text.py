@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ def _chain(col: Column, steps: list[tuple[str, str]]) -> Column:
     return col
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a lambda also keeps what stands in it out of generated code, which has a bound."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # The clean-up's passes, in order.  Three classes hold an em dash as a character of its own (compat);
 # strict has the ranges that were meant.
 _SPACING = [(r" +", " "), ("", ""), (r" / ", "/"), (r" ([.,;]) ", "$1 "), (r" ([)\]])", "$1"), (r" ([(\[]) ", " $1")]
