@@ -299,3 +299,64 @@ def test_streaming_figures(spark, tmp_path):
     q.stop()
     t = S.totals(spark.read.parquet(str(tmp_path / "out"))).first()
     assert (t.hit_count, t.miss_count, t.avg_accuracy) == (3, 3, 50.0)
+
+
+def test_vectors_without_length_and_blocks(spark):
+    """A vector of zeros is as near as 0 and fails nothing; small blocks give the rows that one block gives."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randrange(-2, 3)) for _ in range(3)]) for i in range(60)] + [(60, [0.0] * 3), (61, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = df.where("id % 7 = 0 or id = 60").withColumnRenamed("id", "q")
+    got = [{tuple(r) for r in M.cosine_top_k(q, df, 5, query_id="q", row_id="id", digits=6, query_block=a, row_block=b).collect()} for a, b in ((4096, 8192), (3, 7))]
+    by = M.cosine_top_k(q.withColumn("g", F.lit(1)), df.withColumn("g", F.lit(1)), 5, query_id="q", row_id="id", by=["g"], digits=6)
+    assert got[0] == got[1] == {tuple(r)[1:] for r in by.collect()} and len(got[0]) == 5 * q.where("embedding is not null").count()
+    assert {(r[1], r[2]) for r in got[0] if r[0] == 60} == {(i, 0.0) for i in range(5)}
+    assert spark.sql("select array(0d, 0d) a, array(1d, 0d) b").select(M.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+def test_parts_keep_their_order_however_many(spark):
+    """A text of a hundred parts, and a block of more than a thousand elements."""
+    text = " ".join(f"x{i}. 12.{i} Next" for i in range(100))
+    got = E.split_embedded_sections(stacked(spark, {"d": [("list", None, text), ("list", None, "last")]}))
+    assert got.select("pos").distinct().count() == got.count() == 102
+    order = [r.text for r in got.orderBy("pos").collect()]
+    assert order[0] == "x0." and order[-1] == "last" and [t.split()[0] for t in order[1:-1]] == [f"12.{i}" for i in range(100)]
+    element = "struct<key:string,order:int,list_id:string,text:array<string>,is_table:boolean,table_json:string,bbox:array<int>,page_id:array<int>>"
+    block = lambda b: (b, [("paragraph", i, None, [f"{b}:{i}"], False, None, None, None) for i in range(1200)])
+    parsed = spark.createDataFrame([("d", [block(0), block(1)])], f"doc_id string, content array<struct<id:int,elements:array<{element}>>>")
+    assert [r.text for r in E.tidy(E.stack_elements(parsed)).orderBy("pos").collect()] == [f"{b}:{i}" for b in (0, 1) for i in range(1200)]
+
+
+def test_summary_lifecycle_splits_long_lists(spark):
+    blocks = [("t", 0, 0, "section", "Covenants:"), ("t", 0, 1, "paragraph", "rent, rates, water, gas, power"), ("t", 1, 2, "section", "Borrower:"), ("t", 1, 3, "paragraph", "rent, rates, water, gas, power")]
+    rows = [(*b, [0, 0, 1, 1], [1], 0) for b in blocks]
+    df = spark.createDataFrame(rows, "doc_id string, block_id int, pos long, element string, text string, box array<int>, page_ids array<int>, n_in_block int")
+    bank = spark.createDataFrame([("Borrower",), ("Covenants",)], "name string")
+    got = [(r.section, r.text) for r in lifecycle.summary_rows(df, bank).rows.orderBy("pos").collect()]
+    assert got.count(("Borrower", "rent, rates, water, gas, power")) == 1 and sum(s == "Covenants" for s, _ in got) > 3
+
+
+def test_package_is_sent_to_other_machines():
+    from clausewright import shipping
+
+    class Context:
+        applicationId, sent = "app-test", []
+
+        def __init__(self, master):
+            self.master = master
+
+        def addPyFile(self, path):
+            self.sent.append(path)
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    shipping.ship(Session("spark://host:7077"))
+    assert len(Context.sent) == 1
+    with zipfile.ZipFile(Context.sent[0]) as z:
+        assert "clausewright/operators/match.py" in z.namelist()
+    shipping.ship(Session("spark://host:7077"))
+    assert len(Context.sent) == 1
