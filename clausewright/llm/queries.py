@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +11,16 @@ from pyspark.sql import functions as F
 from clausewright.llm import chat_events as chat
 from clausewright.llm import credential_links as secrets
 from clausewright.llm import rule_ensemble as rules
+from clausewright.llm import turn_repair as turns
 from clausewright.llm.bpe_monoid import encode_column
 from clausewright.llm.chunked_media import media_column
 from clausewright.llm.curve_packing import curve_packed
 from clausewright.llm.dart_minhash import near_classes
 from clausewright.llm.line_cleaning import clean_lines
+from clausewright.llm.projection_forest import nearest_neighbours
 from clausewright.llm.suffix_dedup import remove_repeats
 from clausewright.llm.warc_zip import archive_round_trip
+from clausewright.llm.word_runs import collapse_runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +86,32 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("cleaned_sha256", F.sha2("cleaned", 256)).drop("cleaned")
 
 
-ALL = (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup, op6_credential_links, op7_rule_ensemble, op8_bpe_monoid, op9_chat_events, op10_line_cleaning)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(_table(spark, sf_dir, "conversations"))
+    return turns.repair(rows, copies="copies", digest=True)
+
+
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def recurring(key: int | None, words: list[str]) -> list[str]:
+    """The words of a tenth of the documents, chosen by the key's checksum, recur from a place on with some period."""
+    h, n = zlib.crc32(str(key).encode()), len(words)
+    if key is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    again = words[a : a + p]
+    return words[:a] + (again * ((n - a) // p + 1))[: n - a]
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(_table(spark, sf_dir, "documents"), change=recurring, digest=True).drop("n_words")
+
+
+ALL = (op1_warc_zip, op2_chunked_media, op3_curve_packing, op4_dart_minhash, op5_suffix_dedup, op6_credential_links, op7_rule_ensemble, op8_bpe_monoid, op9_chat_events, op10_line_cleaning, op11_turn_repair, op12_projection_forest, op13_word_runs)
 QUERIES = {f.__name__: f for f in ALL}
 
 #: The two that SQL can say.  The base32 text of a digest is read off it five hexadecimal digits at a time.
