@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,8 +49,9 @@ class CachedTokenizer:
         cores, tails = [], []
         for w in fresh:
             core, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            plain = core.isalpha() and max(core) < "\u0250"
-            cores.append(core.lower() if plain else w)
+            lower = core.lower()
+            plain = core.isalpha() and lower.isalpha() and max(core) < "\u0250"  # a dotted capital I becomes a letter and a mark
+            cores.append(lower if plain else w)
             tails.append(tail if plain else "")
         known = self.known
         self.encode([w for w in dict.fromkeys(cores + tails) if w not in known])
@@ -90,7 +90,9 @@ class CachedTokenizer:
         """All ids, one text after another and each closed by ``closing``; and the number of ids of each text."""
         lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         counts = np.array([len(x) for x in lists], np.int64)
-        codes, distinct = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
+        place: dict[str, int] = {}
+        codes = np.array([place.setdefault(w, len(place)) for x in lists for w in x], np.int64)
+        distinct = list(place)
         if len(self.known) > self.most:
             self.forget()
         self.learn([w for w in distinct if w not in self.known])
