@@ -49,10 +49,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     event = F.struct("sequence", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")
     log = events.groupBy("conversation", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    resets = F.filter("log", lambda e: e["kind"].isin("edit", "regenerate"))
-    # a column of its own: inside the lambda it would be searched again for each event
-    log = log.withColumn("since", F.when(F.size(resets) > 0, F.get(resets, F.size(resets) - 1)["sequence"]))
-    live = F.filter("log", lambda e: F.isnull("since") | (e["sequence"] >= F.col("since")))
+    # places in the sorted log, so that what ties with a reset but is ordered before it goes; a column of its own, or it
+    # would be searched again for each event
+    resets = F.transform("log", lambda e: e["kind"].isin("edit", "regenerate"))
+    back = F.array_position(F.reverse(resets), F.lit(True)).cast("int")
+    log = log.withColumn("since", F.when(back > 0, F.size("log") - back).otherwise(F.lit(0)))
+    live = F.slice("log", F.col("since") + 1, F.size("log"))
     parts = F.transform(F.filter(live, lambda e: e["kind"] != "regenerate"), lambda e: e["text"])
     roles = F.filter("log", lambda e: e["role"].isNotNull())
     return log.select("conversation", "message", F.get(roles, F.lit(0))["role"].alias("role"), F.array_join(parts, "").alias("text"))
