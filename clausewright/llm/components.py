@@ -64,6 +64,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, fits: int = 500_
 
     The graph is contracted over the cluster, in a number of rounds logarithmic in its longest path, until nothing
     changes or no more than ``fits`` edges are left (some 100 MB), which one task then finishes.  Loops and repeated edges don't matter.
+    A graph that still changes after ``rounds`` rounds is an error.
     """
     at = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     seen = (at.count(), None)
@@ -78,5 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, fits: int = 500_
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = at.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
