@@ -20,7 +20,8 @@ are taken where they are needed:
 
 Defined cases: a null text is the empty one; texts under ``length`` bytes lose nothing; a null key comes after all
 keys; rows with equal key and text are one document, and rows with equal key and other text are ordered by a hash
-of the text; an empty table gives an empty result.  Keys are integers.  Matches never cross documents.
+of the text; an empty table gives an empty result.  Keys of any kind go by their order (2**63 - 1 ties with a null one);
+keys that aren't whole numbers are numbered in a range sort first.  Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.llm.shared import discard, least_per_key, materialise, mix64, salt_of, small_batches, text_slices
 from clausewright.llm.words import BASE, BASE_INVERSE, BYTE_VALUES, powers, prefix_hash, text_bytes
@@ -390,6 +392,15 @@ def cut_out(docs: DataFrame, carry: list[str], *, length: int, digest: bool, who
     return docs.select("key", *carry, "text", "starts", "whole").mapInArrow(cut, schema)
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """With ``rank``, a whole number in the order of the keys, null last: a whole number itself, or the key's place in a range sort."""
+    if isinstance(rows.schema["key"].dataType, T.IntegralType):
+        return rows.withColumn("rank", F.coalesce(F.col("key").cast("long"), F.lit(LAST)))
+    keys = rows.select("key").where("key is not null").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    places = materialise(keys.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return rows.join(places, "key", "left").withColumn("rank", F.coalesce("rank", F.lit(LAST)))
+
+
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100, lead: int = 32, carry: tuple[str, ...] = (), digest: bool = False, whole_chars: bool = False, **bucket) -> DataFrame:
     """What is left of each text: key, n_bytes, n_removed, n_spans, then ``kept`` (its bytes) and ``carry`` columns.
 
@@ -400,7 +411,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whole = F.coalesce(F.col(text), F.lit(""))
     carried = [f"carry_{c}" for c in carry]
     rows = docs.select(F.col(key).alias("key"), whole.alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    rows = rows.withColumns({"rank": F.coalesce(F.col("key").cast("long"), F.lit(LAST)), "sha": F.unhex(F.sha2("text", 256))})
+    rows = ranked(rows).withColumn("sha", F.unhex(F.sha2("text", 256)))
     rows = rows.withColumns({"copy": F.xxhash64("sha"), "salt": salt_of("rank")})
     long_ = rows.where(F.octet_length("text") >= length)
     firsts = materialise(least_per_key(long_.select("sha", "rank", "salt"), "sha", "rank", "first"), "firsts")

@@ -191,6 +191,22 @@ def test_ranked_tokens_are_the_files_own():
         assert list(fast([c], 1)[0]) == t.encode(c, add_special_tokens=False).ids + [1]
 
 
+def test_tokens_of_odd_strings():
+    """Control characters, NUL, a dotted capital I, combining marks, the file's own tokens: one by one, and many in a call."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, fast, slow = Tokenizer.from_file(path), curve_packing.RankedTokenizer(path), curve_packing.CachedTokenizer(path)
+    rnd = random.Random(9)
+    odd = ["\x00", "\x01", "\x1f", "\x7f", "İ", "ı", "İ.", "İ,", "I\u0307", "é", "e\u0301", "\u0301", "\u0307", "a", "B", "'", "don't", "<|endoftext|>", "<|startoftext|>", "<|", " ", " ", "\n", "\t", ",", ".", "1", "ß", "ǅ", "ŉ", "日", "\u200d", "\xa0", "\u2003"]
+    cases = ["don't a\x00b a", "é İ. x", "a\x00b a\x00c a a\x00", "İ, İ. İ", *("".join(rnd.choices(odd, k=rnd.randrange(1, 14))) for _ in range(4000))]
+    want = [t.encode(c, add_special_tokens=False).ids + [1] for c in cases]
+    for one in (fast, slow):
+        ids, sizes = one(cases, 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert [fast([c], 1)[0].tolist() for c in cases] == want
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = curve_packing.hilbert_keys(cells, 3)
@@ -331,6 +347,12 @@ def test_components(spark):
         assert {r.node: r.root for r in components(df, fits=fits).collect()} == want
 
 
+def test_components_that_go_on_changing_are_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        components(df, fits=0, rounds=1)
+
+
 # -- 5
 
 
@@ -357,6 +379,15 @@ def test_op5(spark, sf):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op5_suffix_dedup(spark, sf).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,1)"])
+def test_op5_keys_of_other_kinds(spark, kind):
+    rows = [("10", SHARED + "ten"), ("9", SHARED + "nine"), ("100", "short " + SHARED), (None, SHARED), ("9.5", "y" * 300)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) AS doc_id", "text")
+    order = sorted(rows[:3] + rows[4:], key=lambda r: r[0] if kind == "string" else float(r[0])) + rows[3:4]
+    got = {r.doc_id if r.doc_id is None or kind == "string" else float(r.doc_id): tuple(r)[1:] for r in suffix_dedup.remove_repeats(df, digest=True).collect()}
+    assert got == {k if k is None or kind == "string" else float(k): x for (k, _), x in zip(order, without_repeats([t for _, t in order]), strict=True)}
+
+
 @pytest.mark.parametrize("bucket", [{}, {"chunk": 2, "most": 3}, {"hot": 2}])
 def test_op5_awkward_rows(spark, bucket):
     """With tiny buckets every run of suffixes overflows, and with a low bound hot ones go the other way: all are compared across buckets.
@@ -592,6 +623,13 @@ def test_op9_events(spark):
     got = {r.conversation: r for r in chat_events.chats(events).select("conversation", "formatted", chat_events.read_back(F.col("formatted")).alias("turns"), chat_events.under_mask(F.col("formatted"), F.col("loss")).alias("loss")).collect()}
     assert [tuple(t) for t in got["c"].turns] == [("user", "hello"), ("assistant", "good~1<s>"), ("tool<x>", "new!")] and got["c"].loss == "good~1<s>"
     assert [tuple(t) for t in got["d"].turns] == [("", "")] and got["c"].formatted.count("<s>") == 1
+
+
+def test_op9_ties_of_sequence(spark):
+    """Deltas go before edits, edits before regenerations of their sequence; what an edit takes back goes, also under its own number."""
+    log = [("a", 0, "delta", "ab"), ("a", 1, "delta", "cd"), ("a", 1, "edit", "XX"), ("a", 2, "delta", "ef"), ("b", 1, "edit", "no"), ("b", 1, "regenerate", None), ("b", 1, "delta", "no"), ("b", 2, "delta", "yes"), ("c", 0, "delta", "only"), ("d", 3, "regenerate", None), ("e", 1, "edit", "p"), ("e", 1, "edit", "q")]
+    events = spark.createDataFrame([(c, 1, n, k, "user", t) for c, n, k, t in log], "conversation string, message int, sequence int, kind string, role string, text string")
+    assert {r.conversation: r.text for r in chat_events.fold_events(events).collect()} == {"a": "XXef", "b": "yes", "c": "only", "d": "", "e": "q"}
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (None, 0, None, "x" * 3000)], "conv_id long, turn long, role string, text string")
     back = {r.conversation: [tuple(t) for t in r.t] for r in chat_events.chats(chat_events.events_of_turns(rows)).select("conversation", chat_events.read_back(F.col("formatted")).alias("t")).collect()}
     assert back == {1: [("user", ""), ("user", "b"), ("user", "b")], None: [("", "x" * 3000)]}
