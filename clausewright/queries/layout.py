@@ -8,6 +8,8 @@ from clausewright.functions import geometry as G
 from clausewright.operators import layout as L
 from clausewright.operators import lookup as Q
 from clausewright.queries.tables import BOXES, boxes, table
+from clausewright.sources.documents import pdf_tokens
+from clausewright.sources.pdf_write import text_pdfs
 
 QUERIES, ORACLE = {}, {}
 
@@ -162,3 +164,13 @@ def clause_lookup_stated(spark, sf_dir):
     b, asked = (x.withColumnRenamed("doc_id", "file_id") for x in _stated(spark, sf_dir))
     name = F.concat_ws(".", "file_id", "page_id", "pos")
     return Q.find_clause(asked.select(name.alias("id"), "file_id", "page_id", "text", "box"), b.withColumn("identifier", name))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, k, substr(line, 90 * k + 1, 90) AS piece FROM (SELECT *, unnest(range(greatest(1, (length(line) + 89) // 90))) AS k FROM l)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS r, 36 + 6 * (length(piece) - length(ltrim(piece, ' '))) AS x0, 36 + 6 * length(rtrim(piece, ' ')) AS x1 FROM c)
+SELECT doc_id, (r // 60 + 1)::INT AS page_id, (row_number() OVER (PARTITION BY doc_id, r // 60 ORDER BY r) - 1)::INT AS pos, trim(piece, ' ') AS text, """ + ", ".join(f"trunc({v}::DOUBLE / {d}::DOUBLE * 1000)::BIGINT AS {n}" for n, v, d in (("x0", "x0", 612), ("y0", "(38 + 12 * (r % 60))", 792), ("x1", "x1", 612), ("y1", "(48 + 12 * (r % 60))", 792))) + " FROM n WHERE trim(piece, ' ') <> ''")
+def pdf_page_tokens(spark, sf_dir):
+    """Every document as a PDF of text lines, and the spans that are read out of its bytes."""
+    found = pdf_tokens(text_pdfs(table(spark, sf_dir, "documents")), "doc_id")
+    return found.select("doc_id", "page_id", "pos", "text", *_edges(F.col("box")))
