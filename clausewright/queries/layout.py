@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausewright.functions import geometry as G
 from clausewright.operators import layout as L
 from clausewright.operators import lookup as Q
+from clausewright.operators import tables as TB
 from clausewright.queries.tables import BOXES, boxes, table
 from clausewright.sources.documents import pdf_tokens
 from clausewright.sources.pdf_write import text_pdfs
@@ -174,3 +176,45 @@ def pdf_page_tokens(spark, sf_dir):
     """Every document as a PDF of text lines, and the spans that are read out of its bytes."""
     found = pdf_tokens(text_pdfs(table(spark, sf_dir, "documents")), "doc_id")
     return found.select("doc_id", "page_id", "pos", "text", *_edges(F.col("box")))
+
+
+#: A table for each order: names of columns, then its lines.  Quantities of lines with flag N are blank, every fourth order lacks
+#: the name of that column, and every fifth ends in a line across columns.
+GRIDS = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+lines AS (
+  SELECT l_orderkey AS k, r, l_partkey % 9 AS dx, l_suppkey % 7 AS dy, 'No ' || l_linenumber AS c0, l_partkey::VARCHAR AS c1, CASE WHEN l_returnflag <> 'N' THEN l_quantity::BIGINT::VARCHAR END AS c2, l_linestatus || '-' || l_suppkey AS c3 FROM li
+  UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 0, 'Line', 'Part ' || (l_orderkey % 3), CASE WHEN l_orderkey % 4 <> 1 THEN 'Qty' END, 'Status' FROM li
+  UNION ALL SELECT DISTINCT l_orderkey, n + 1, 0, 0, 'Total of all the lines above, of which there are in this order, as far as we have counted, just ' || n, NULL, NULL, NULL FROM li WHERE l_orderkey % 5 = 0)"""
+
+
+def grid_words(spark, sf_dir):
+    """The words of :data:`GRIDS` with boxes: (doc_id, page_id, table_id, text, box); columns and rows are a little out of line."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumns({"r": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))})
+    k, none = F.col("l_orderkey").alias("k"), F.lit(None).cast("string")
+    whole = F.col("l_quantity").cast("long").cast("string")
+    lines = li.select(k, "r", (F.col("l_partkey") % 9).alias("dx"), (F.col("l_suppkey") % 7).alias("dy"), F.array(F.concat(F.lit("No "), F.col("l_linenumber")), F.col("l_partkey").cast("string"), F.when(F.col("l_returnflag") != "N", whole), F.concat_ws("-", "l_linestatus", F.col("l_suppkey"))).alias("c"))
+    orders, zero = li.select("l_orderkey", "n").distinct(), F.lit(0).cast("long")
+    heads = orders.select(k, F.lit(0).alias("r"), zero.alias("dx"), zero.alias("dy"), F.array(F.lit("Line"), F.concat(F.lit("Part "), F.col("l_orderkey") % 3), F.when(F.col("l_orderkey") % 4 != 1, "Qty"), F.lit("Status")).alias("c"))
+    total = F.concat(F.lit("Total of all the lines above, of which there are in this order, as far as we have counted, just "), F.col("n"))
+    ends = orders.where("l_orderkey % 5 = 0").select(k, (F.col("n") + 1).cast("int").alias("r"), zero.alias("dx"), zero.alias("dy"), F.array(total, none, none, none).alias("c"))
+    each = lines.unionByName(heads).unionByName(ends).select("k", "r", "dx", "dy", F.posexplode("c").alias("i", "cell")).where("cell is not null")
+    each = each.select("k", "r", "dx", "dy", "i", F.posexplode(F.split("cell", " ")).alias("j", "text"), "cell")
+    before = F.length(F.array_join(F.slice(F.split("cell", " "), F.lit(1), F.col("j")), " "))
+    left = (100 + 220 * F.col("i") + F.col("dx") + F.when(F.col("j") > 0, 6 * before + 6).otherwise(0)).cast("int")
+    top = (100 + 30 * F.col("r") + F.when(F.col("i") % 2 == 0, F.col("dy")).otherwise(0)).cast("int")
+    box = F.array(left, top, left + 6 * F.length("text"), top + 10)
+    return each.select((F.col("k") % 200).alias("doc_id"), F.floor(F.col("k") / 200).cast("int").alias("page_id"), F.lit(0).alias("table_id"), "text", box.alias("box"))
+
+
+@query(f"""WITH {GRIDS}, shape AS (SELECT k, bool_or(c2 IS NOT NULL) AS quantities FROM lines GROUP BY k),
+headed AS (SELECT k, quantities, CASE WHEN NOT quantities THEN ['Line', 'Part ' || (k % 3), 'Status'] WHEN k % 4 <> 1 THEN ['Line', 'Part ' || (k % 3), 'Qty', 'Status'] END AS own FROM shape),
+carried AS (SELECT k, quantities, last_value(own IGNORE NULLS) OVER (PARTITION BY k % 200 ORDER BY k // 200) AS header FROM headed),
+fitting AS (SELECT *, CASE WHEN quantities THEN 4 ELSE 3 END AS width FROM carried WHERE len(header) = CASE WHEN quantities THEN 4 ELSE 3 END)
+SELECT l.k % 200 AS doc_id, (l.k // 200)::INT AS page_id, (l.r - 1)::INT AS row, i::INT AS "column", header[i + 1] AS name, coalesce((CASE WHEN quantities THEN [c0, c1, c2, c3] ELSE [c0, c1, c3] END)[i + 1], '') AS text
+FROM fitting f JOIN lines l ON l.k = f.k AND l.r > 0, unnest(range(width)) AS u(i)""")
+def word_tables(spark, sf_dir):
+    """Tables of planted grids, by name of column; headers that lack a name are carried on from the page before."""
+    found = TB.tables(TB.cells(grid_words(spark, sf_dir))).where("records is not null")
+    rows = found.select("doc_id", "page_id", "header", F.posexplode("records").alias("row", "record"))
+    return rows.select("doc_id", "page_id", "row", F.posexplode("header").alias("column", "name"), "record").withColumn("text", F.col("record")[F.col("name")]).drop("record")
