@@ -7,7 +7,10 @@ one document's rows in an Arrow function.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,6 +138,65 @@ def classify_tokens(tokens: DataFrame, model=None, *, tag: str = "tag", rule_tag
     return tokens.drop(tag).join(found, ["doc_id", "page_id", "pos"])
 
 
+def token_windows(tokens: DataFrame, pieces: Column, *, size: int = 512, stride: int = 128, pos: str = "pos") -> DataFrame:
+    """(doc_id, page_id, window, items) of overlapping windows: ``size`` pieces of words each, ``stride`` shared with the next.
+
+    ``pieces`` says in how many pieces the model's tokenizer cuts a word.  A word is in each window that holds its first
+    piece; the last window of a page is the first that reaches its end.  Items are (at, pos, text, box) in order of pos.
+    """
+    step = size - stride
+    page = Window.partitionBy("doc_id", "page_id")
+    n = F.greatest(pieces, F.lit(1)).cast("long")
+    placed = tokens.select("doc_id", "page_id", F.col(pos).alias("pos"), "text", "box", n.alias("n"))
+    order = page.orderBy("pos", "text", "box").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({"at": F.coalesce(F.sum("n").over(order), F.lit(0)), "total": F.sum("n").over(page)})
+    last = F.greatest(F.ceil((F.col("total") - size) / step), F.lit(0))
+    first = F.greatest(F.floor((F.col("at") - size) / step) + 1, F.lit(0))
+    ends = F.least(F.floor(F.col("at") / step), last)
+    each = placed.withColumn("window", F.explode(F.sequence(first.cast("long"), ends.cast("long"))))
+    return each.groupBy("doc_id", "page_id", "window").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "text", "box"))).alias("items"))
+
+
+def classify_windows(
+    tokens: DataFrame, make_model: Callable[[], Callable[[list[list[tuple[str, list[int]]]]], list[list[str | None]]]], *, pieces: Column | None = None, size: int = 512, stride: int = 128, batch: int = 16, tag: str = "tag", compat: bool = True,
+) -> DataFrame:
+    """Tokens with the tags that a model gives them in overlapping windows; tokens without one are dropped.
+
+    ``make_model`` is called once in a task; the model takes up to ``batch`` windows, each a list of (text, box), and gives a
+    tag or none for every token.  Windows are dealt over the tasks by page and number, so a long page keeps none busy alone.
+    Of a token's predictions compat takes the last one for its page and box, in order of windows and places (tokens that
+    share a box share a tag); strict takes the token's own from the window that shows most on both sides of it.
+    """
+    windows = token_windows(tokens, F.lit(1) if pieces is None else pieces, size=size, stride=stride)
+    kind = dict(tokens.dtypes)
+    page = f"doc_id {kind['doc_id']}, page_id {kind['page_id']}, window long"
+    given = f"at long, pos {kind['pos']}, box {kind['box']}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            model = model or make_model()
+            for begin in range(0, b.num_rows, batch):
+                some = b.slice(begin, batch)
+                items = some.column("items").to_pylist()
+                said = model([[(x["text"], x["box"]) for x in window] for window in items])
+                if [len(x) for x in said] != [len(x) for x in items]:
+                    raise ValueError("a model must give a tag or None for every token of its windows")
+                flat = [{"at": x["at"], "pos": x["pos"], "box": x["box"], "tag": t, "room": min(i, len(window) - 1 - i)} for window, tags in zip(items, said, strict=True) for i, (x, t) in enumerate(zip(window, tags, strict=True))]
+                rows = some.select(["doc_id", "page_id", "window"]).take(pa.array([i for i, window in enumerate(items) for _ in window], pa.int64()))
+                inner = some.schema.field("items").type.value_type
+                columns = [pa.array([x[c] for x in flat], inner.field(c).type) for c in ("at", "pos", "box")]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns, pa.array([x["tag"] for x in flat], pa.string()), pa.array([x["room"] for x in flat], pa.int32())], ["doc_id", "page_id", "window", "at", "pos", "box", "tag", "room"])
+
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as bytes don't tell what a model costs
+    found = windows.repartition(tasks, "doc_id", "page_id", "window").mapInArrow(run, f"{page}, {given}, tag string, room int").where("tag is not null")
+    key, best = (["doc_id", "page_id", "box"], F.struct("window", "at")) if compat else (["doc_id", "page_id", "pos"], F.struct("room", F.negative("window")))
+    chosen = found.groupBy(*key).agg(F.max_by("tag", best).alias("chosen"))
+    same = [tokens[c].eqNullSafe(chosen[c]) for c in key]
+    joined = tokens.join(chosen, same[0] & same[1] & same[2])
+    return joined.select(*(tokens[c] for c in tokens.columns if c != tag), chosen["chosen"].alias(tag))
+
+
 def group_elements(tokens: DataFrame, *, doc: str = "doc_id", order: str = "pos", term_sheet: Column | bool = False, line_most: str | Column = "line_most") -> DataFrame:
     """Neighbouring tokens of one tag as one element; footers and references after the first token go.
 

@@ -1,6 +1,7 @@
 """Tables from the boxes of words: rows by height, columns by the gutters between them, records by a header.
 
-A page's words are sorted and swept in windows by page and table area, so a page is the most that a task holds of one key.
+A page's words are sorted in windows by page and table area, and its cells swept as one array, so a page is the most that
+a task holds of one key, and all steps share one shuffle.
 
 1. Words whose tops are no more than ``tolerance`` below the one before are a row.
 2. In a row, words no more than ``space`` apart are a cell's text.
@@ -18,15 +19,22 @@ from pyspark.sql.window import Window
 AREA = ("doc_id", "page_id", "table_id")
 
 
-def _sweep(df: DataFrame, by: list[str], left: str, right: str, gap: int, out: str) -> DataFrame:
-    """Number groups of intervals, from left to right: one begins where all before it end more than ``gap`` short of it."""
-    w = Window.partitionBy(*by).orderBy(left, right)
-    reach = F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(out, F.sum(F.when(F.col(left) - reach > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+SPANS = "array<struct<left:int,right:int>>"
 
 
-def _meets(left: str, right: str, column: Column) -> Column:
-    return (F.col(left) <= column["right"]) & (F.col(right) >= column["left"])
+def _swept(spans: Column, gap: int) -> Column:
+    """Intervals joined from left to right where no more than ``gap`` is between one and all before it."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = F.struct(last["left"].alias("left"), F.greatest(last["right"], x["right"]).alias("right"))
+        return F.when(x["left"] - last["right"] <= gap, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
+
+
+def _meets(part: Column, column: Column) -> Column:
+    return (part["left"] <= column["right"]) & (part["right"] >= column["left"])
 
 
 def cells(words: DataFrame, *, by: tuple[str, ...] = AREA, text: str = "text", box: str = "box", tolerance: int = 15, space: int = 8) -> DataFrame:
@@ -39,28 +47,26 @@ def cells(words: DataFrame, *, by: tuple[str, ...] = AREA, text: str = "text", b
     down = Window.partitionBy(*keys).orderBy("top", "left", "right", "text")
     fresh = F.when(F.col("top") - F.lag("top").over(down) > tolerance, 1).otherwise(0)
     rows = placed.withColumn("fresh", fresh).withColumn("row", F.sum("fresh").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    parts = _sweep(rows, [*keys, "row"], "left", "right", space, "part")
+    along = Window.partitionBy(*keys, "row").orderBy("left", "right")
+    reach = F.max("right").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", F.when(F.col("left") - reach > space, 1).otherwise(0))
+    rows = rows.withColumn("part", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "text"))), lambda x: x["text"]), " ")
-    parts = parts.groupBy(*keys, "row", "part").agg(said.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"))
+    parts = rows.groupBy(*keys, "row", "part").agg(said.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"))
     parts = parts.withColumn("width", F.count(F.lit(1)).over(Window.partitionBy(*keys, "row")))
-    # how many cells most rows have: each row counts once, by its first part
-    sizes = F.collect_list(F.when(F.col("part") == 0, F.col("width"))).over(Window.partitionBy(*keys))
-    usual = F.array_max(F.transform(F.array_distinct(sizes), lambda n: F.struct(F.size(F.filter(sizes, lambda x: x == n)).alias("rows"), n.alias("n"))))["n"]
-    parts = parts.withColumn("usual", F.col("width") == usual)
-
-    def columns(some: DataFrame, name: str) -> DataFrame:
-        found = _sweep(some, keys, "left", "right", space, "column").groupBy(*keys, "column").agg(F.min("left").alias("left"), F.max("right").alias("right"))
-        return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias(name))
-
-    parts = parts.join(columns(parts.where("usual"), "base"), keys)
-    alone = ~F.exists("base", lambda c: _meets("left", "right", c))
-    shown = F.when(F.col("usual") | alone, F.array(F.struct("left", "right"))).otherwise(F.array().cast("array<struct<left:int,right:int>>"))
-    spans = parts.select(*keys, F.explode(shown).alias("x")).select(*keys, "x.left", "x.right")
-    parts = parts.drop("base").join(columns(spans, "columns"), keys)
-    first = F.array_position(F.transform("columns", lambda c: _meets("left", "right", c)), F.lit(True)).cast("int") - 1
-    parts = parts.withColumns({"column": first, "n_columns": F.size("columns")})
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ")
-    return parts.groupBy(*keys, "n_columns", "row", "column").agg(whole.alias("text"))
+    whole = parts.groupBy(*keys).agg(F.collect_list(F.struct("row", "part", "left", "right", "width", "text")).alias("parts"))
+    sizes = whole.withColumn("sizes", F.transform(F.filter("parts", lambda x: x["part"] == 0), lambda x: x["width"]))
+    usual = F.array_max(F.transform(F.array_distinct("sizes"), lambda n: F.struct(F.size(F.filter("sizes", lambda x: x == n)).alias("rows"), n.alias("n"))))["n"]
+    span = lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"))
+    found = sizes.withColumn("usual", usual)
+    found = found.withColumn("base", _swept(F.transform(F.filter("parts", lambda x: x["width"] == F.col("usual")), span), space))
+    shows = lambda x: (x["width"] == F.col("usual")) | ~F.exists("base", lambda c: _meets(x, c))
+    found = found.withColumn("columns", _swept(F.transform(F.filter("parts", shows), span), space))
+    first = lambda x: F.array_position(F.transform("columns", lambda c: _meets(x, c)), F.lit(True)).cast("int") - 1
+    placed = F.transform("parts", lambda x: F.struct(x["row"].alias("row"), first(x).alias("column"), x["part"].alias("part"), x["text"].alias("text")))
+    each = found.select(*keys, F.size("columns").alias("n_columns"), F.inline(placed))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ")
+    return each.groupBy(*keys, "n_columns", "row", "column").agg(text_.alias("text"))
 
 
 def tables(cells_: DataFrame, *, by: tuple[str, ...] = AREA, document: tuple[str, ...] = ("doc_id",), compat: bool = True) -> DataFrame:

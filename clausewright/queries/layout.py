@@ -218,3 +218,20 @@ def word_tables(spark, sf_dir):
     found = TB.tables(TB.cells(grid_words(spark, sf_dir))).where("records is not null")
     rows = found.select("doc_id", "page_id", "header", F.posexplode("records").alias("row", "record"))
     return rows.select("doc_id", "page_id", "row", F.posexplode("header").alias("column", "name"), "record").withColumn("text", F.col("record")[F.col("name")]).drop("record")
+
+
+def _by_place():
+    """A model whose tags show where it saw a token: its place and the size of its window; it is silent about some."""
+    return lambda windows: [[None if text.endswith("7") else f"{text[:1]}{i % 7}-{len(window)}" for i, (text, _) in enumerate(window)] for window in windows]
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT *, CASE WHEN text LIKE 'A%' THEN 3 ELSE 1 END AS n FROM boxes),
+o AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place, (sum(n) OVER (PARTITION BY doc_id, page_id))::BIGINT AS total FROM p WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY pos)),
+e AS (SELECT *, unnest(range(CASE WHEN place < 32 THEN 0 ELSE (place - 32) // 24 + 1 END, least(place // 24, greatest(0, (total - 32 + 23) // 24)) + 1)) AS win FROM o),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, win ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page_id, win) AS size FROM e),
+t AS (SELECT doc_id, page_id, x0, y0, x1, y1, arg_max(text[1] || (i % 7) || '-' || size, win * 1000000 + place) AS tag FROM m WHERE text NOT LIKE '%7' GROUP BY ALL)
+SELECT b.doc_id, b.page_id, b.pos, t.tag FROM boxes b JOIN t ON t.doc_id = b.doc_id AND t.page_id = b.page_id AND t.x0 = b.x0 AND t.y0 = b.y0 AND t.x1 = b.x1 AND t.y1 = b.y1""")
+def window_tags(spark, sf_dir):
+    """Tags from overlapping windows of 32 pieces, 8 of them shared, of every page of boxes."""
+    pieces = F.when(F.col("text").startswith("A"), 3).otherwise(1)
+    return L.classify_windows(boxes(spark, sf_dir), _by_place, pieces=pieces, size=32, stride=8).select("doc_id", "page_id", "pos", "tag")
