@@ -137,27 +137,30 @@ def _unit(vector: str) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def _best_of_block(k: int, digits: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best ``k`` rows of a block for each query of a block: one matrix product."""
+def _best_of_block(k: int, digits: int | None, keys: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best ``k`` rows of a block for each query of a block, by matrix products of some queries at a time."""
+    some = 256
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        form = {"__qid": left.schema.field("__qid").type, "__rid": right.schema.field("__rid").type, "similarity": pa.float64()}
+        form = {c: left.schema.field(c).type for c in keys} | {"__qid": left.schema.field("__qid").type, "__rid": right.schema.field("__rid").type, "similarity": pa.float64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in form.items()})
         right = right.sort_by("__rid")
         q, r = (np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t in (left, right))
-        sim = q @ r.T
-        if digits is not None:
-            sim = np.trunc(sim * 10**digits + np.copysign(0.5, sim)) / 10**digits
-        few, at, best = min(k, len(r)), [], []
-        least = -np.partition(-sim, few - 1, axis=1)[:, few - 1]
-        for i, row in enumerate(sim):
-            some = np.flatnonzero(row >= least[i])
-            some = some[np.argsort(-row[some], kind="stable")[:few]]  # rows stand by id, so ties go to the lesser
-            at.append(np.full(len(some), i))
-            best.append(some)
-        at, best = np.concatenate(at), np.concatenate(best)
-        return pa.table({"__qid": left.column("__qid").take(pa.array(at)), "__rid": right.column("__rid").take(pa.array(best)), "similarity": sim[at, best]})
+        few, at, best, found = min(k, len(r)), [], [], []
+        for begin in range(0, len(q), some):
+            sim = q[begin : begin + some] @ r.T
+            if digits is not None:
+                sim = np.trunc(sim * 10**digits + np.copysign(0.5, sim)) / 10**digits
+            least = np.partition(sim, len(r) - few, axis=1)[:, len(r) - few]
+            for i, row in enumerate(sim):
+                near = np.flatnonzero(row >= least[i])
+                near = near[np.argsort(-row[near], kind="stable")[:few]]  # rows stand by id, so ties go to the lesser
+                at.append(np.full(len(near), begin + i))
+                best.append(near)
+                found.append(row[near])
+        at, best = pa.array(np.concatenate(at)), pa.array(np.concatenate(best))
+        return pa.table({**{c: left.column(c).take(at) for c in keys}, "__qid": left.column("__qid").take(at), "__rid": right.column("__rid").take(best), "similarity": np.concatenate(found)})
 
     return run
 
@@ -165,28 +168,30 @@ def _best_of_block(k: int, digits: int | None) -> Callable[[pa.Table, pa.Table],
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, query_id: str, row_id: str, by: list[str] | None = None, vector: str = "embedding", query_block: int = 4096, row_block: int = 8192, digits: int | None = None) -> DataFrame:
     """(by, query_id, row_id, similarity, rank): the exact ``k`` nearest rows of each query.
 
-    Vectors are scaled once, so a pair costs one dot product.  With ``by`` (a document or task) pairs meet in an equi
-    join.  Without it every query meets every row: both are cut into blocks of about ``query_block`` and ``row_block``,
-    a block of queries meets a block of rows in one matrix product, and only the best ``k`` of a block leave it.  The
-    stated queries are copied to each block of rows; rows are copied only if there are more queries than one block holds.
-    Ties go to the lesser row id, after rounding to ``digits``; a vector without length is as near as 0; rows without a vector are left out.
+    Vectors are scaled once.  Every query meets every row of its ``by`` (a document or task; without it, of all): both are cut
+    into blocks of about ``query_block`` and ``row_block``, a block of queries meets a block of rows in matrix products, and only
+    the best ``k`` of a block leave it, so a large group is dealt over tasks as all rows are.  How many blocks a group has is
+    counted in the plan itself.  Queries are copied to each block of rows; rows are copied only if there are more queries than
+    one block holds.  Ties go to the lesser row id, after rounding to ``digits``; a vector without length is as near as 0; rows
+    without a vector, or without one of ``by``, are left out.
     """
-    norm = lambda df, i, v: df.where(F.col(vector).isNotNull()).select(*(by or []), F.col(i).alias(f"__{v}id"), _unit(vector).alias(v))
-    q, r = norm(queries, query_id, "q"), norm(rows, row_id, "r")
-    if by:
-        pairs = q.join(r, by)
-        sim = dot(F.col("q"), F.col("r"))
-        scored = pairs.select(*by, "__qid", "__rid", (F.round(sim, digits) if digits is not None else sim).alias("similarity"))
-    else:
-        n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((q, query_block), (r, row_block)))
-        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = q.select("__qid", F.col("q").alias("v"), F.pmod(F.xxhash64("__qid"), F.lit(n_q)).cast("int").alias("i"), all_of(n_r).alias("j"))
-        right = r.select("__rid", F.col("r").alias("v"), all_of(n_q).alias("i"), F.pmod(F.xxhash64("__rid"), F.lit(n_r)).cast("int").alias("j"))
-        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((q, "__qid"), (r, "__rid"))]
-        scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_block(k, digits), ", ".join([*kinds, "similarity double"]))
-    w = Window.partitionBy(*(by or []), "__qid").orderBy(F.desc("similarity"), "__rid")
+    keys = [f"__by{i}" for i in range(max(1, len(by or [])))]  # columns of their own, as both sides may come from one table
+    groups = [F.col(c).alias(k_) for c, k_ in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]
+    norm = lambda df, i, name: df.where(F.col(vector).isNotNull()).select(*groups, F.col(i).alias(name), _unit(vector).alias("v")).dropna(subset=keys)
+    q, r = norm(queries, query_id, "__qid"), norm(rows, row_id, "__rid")
+    counted = lambda df, size, out: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(out))
+    sizes = counted(q, query_block, "__nq").join(counted(r, row_block, "__nr"), keys)
+    if not by:
+        sizes = F.broadcast(sizes)  # a single row
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(sizes, keys).select(*keys, "__qid", "v", F.pmod(F.xxhash64("__qid"), F.col("__nq")).cast("int").alias("__i"), others("__nr").alias("__j"))
+    right = r.join(sizes, keys).select(*keys, "__rid", "v", others("__nq").alias("__i"), F.pmod(F.xxhash64("__rid"), F.col("__nr")).cast("int").alias("__j"))
+    form = ", ".join([*(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in [*keys, "__qid"]), f"`__rid` {r.schema['__rid'].dataType.simpleString()}", "similarity double"])
+    block = [*keys, "__i", "__j"]
+    scored = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_best_of_block(k, digits, keys), form)
+    w = Window.partitionBy(*keys, "__qid").orderBy(F.desc("similarity"), "__rid")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(*(by or []), F.col("__qid").alias(query_id), F.col("__rid").alias(row_id), "similarity", "rank")
+    return ranked.select(*(F.col(k_).alias(c) for c, k_ in zip(by or [], keys, strict=False)), F.col("__qid").alias(query_id), F.col("__rid").alias(row_id), "similarity", "rank")
 
 
 def fan_out(hits: DataFrame, lookup: DataFrame, *, on: list[str]) -> DataFrame:
