@@ -7,9 +7,11 @@ state along a text, so they are read in an Arrow function; results are arrays to
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,21 +264,26 @@ def list_item_column(s: pd.Series) -> pd.Series:
 def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos", reset: str = "is_definition", text: str = "text") -> DataFrame:
     """(doc, pos, items): numbered items where a list goes on from the text before it in its block.
 
-    The last id of a text is carried to the next one of the same block, except under definitions.  One block is one
-    group: a block is part of a page or two, so groups stay small whatever the number of documents.
+    The last id of a text is carried to the next one of the same block, except under definitions.  Blocks are sorted within
+    partitions and read as they stream by, so nothing but an id is held between texts.
     """
     kind = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        carried, rows = None, []
-        for r in pdf.sort_values(pos).to_dict("records"):
-            items, last = list_items(r[text], carried)
-            carried = None if r[reset] else last
-            rows.append({doc: r[doc], "block_id": r["block_id"], pos: r[pos], "items": [{"list_id": i, "text": t} for i, t in items]})
-        return pd.DataFrame(rows)
+    form = pa.list_(pa.struct([("list_id", pa.string()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, carried = None, None
+        for batch in batches:
+            rows = []
+            for key, said, stop in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if key != now:
+                    now, carried = key, None
+                items, last = list_items(said, carried)
+                carried = None if stop else last
+                rows.append([{"list_id": i, "text": t} for i, t in items])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, form)], [doc, "block_id", pos, "items"])
 
     schema = f"{doc} {kind[doc]}, block_id {kind['block_id']}, {pos} {kind[pos]}, items array<struct<list_id:string,text:string>>"
-    return df.select(doc, "block_id", pos, reset, text).groupBy(doc, "block_id").applyInPandas(run, schema)
+    return df.select(doc, "block_id", pos, reset, text).repartition(doc, "block_id").sortWithinPartitions(doc, "block_id", pos).mapInArrow(run, schema)
 
 
 def phrase_items(blocks: DataFrame, *, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
