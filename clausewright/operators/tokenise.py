@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from clausewright.functions import patterns as P
 from clausewright.functions.text import number_word, spaced_pattern
+from clausewright.operators.sentences import Boundaries, split_sentences
 
 SENTENCE_END = re.compile(r'(?<=[.!?])(?<!\A\d\.)(?<!\A\d\d\.)(?<!\bNo\.)(?<!\bno\.)(?<![A-Z]\.)(?<!\betc\.)(?<!\bi\.e\.)(?<!\be\.g\.)\s+(?=["“A-Z(\[])')
 ITEMS = T.ArrayType(T.StructType([T.StructField("list_id", T.StringType()), T.StructField("text", T.StringType())]))
@@ -31,20 +32,22 @@ PARAGRAPH = P.PARA_SPLIT
 PURE = re.compile(rf"^[{re.escape(P.PUNCTUATION)}]+$|^\d+$")
 
 
-def phrases(text: str | None, pattern: str = PARAGRAPH, when_long: bool = False, compat: bool = True) -> list[str]:
+def phrases(text: str | None, pattern: str = PARAGRAPH, when_long: bool = False, compat: bool = True, known: Boundaries | None = None) -> list[str]:
     """Phrases of a text: sentences split after delimiters.
 
     ``when_long`` splits at commas from the first sentence on that has five comma parts or says ``but not limited
     to``; with compat the comma pattern then stays for the sentences after it.  At commas, a piece of more than four
     words joins one of more than four words before it.  If all phrases end with a colon they are one.  ``No.``
     doesn't end a sentence; with compat every ``number`` becomes ``No.``, as its stand-in can't be told from the word.
+    With ``known``, what was learned of a corpus, sentences end where that says; without, where a fixed pattern does.
     """
     if not text:
         return []
     comma = P.COMMA_DELIMITERS
     out: list[str] = []
     now = pattern
-    for s in sentences(re.sub(r"No\.|no\.", "number", text) if compat else text):
+    given = re.sub(r"No\.|no\.", "number", text) if compat else text
+    for s in sentences(given) if known is None else split_sentences(given, known):
         if when_long and (len(s.split(",")) >= 5 or "but not limited to" in s):
             now = comma
         elif not compat:
@@ -64,12 +67,12 @@ def phrases(text: str | None, pattern: str = PARAGRAPH, when_long: bool = False,
     return [x for x in out if len(out) == 1 or not PURE.match(x)]
 
 
-def phrase_column(text: Column, *, pattern: str = PARAGRAPH, when_long: Column | None = None, compat: bool = True) -> Column:
+def phrase_column(text: Column, *, pattern: str = PARAGRAPH, when_long: Column | None = None, compat: bool = True, known: Boundaries | None = None) -> Column:
     """phrases() over a column; ``when_long`` may differ by row."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else phrases(x, pattern, bool(y), compat) for x, y in zip(s, w, strict=True)])
+        return pd.Series([None if x is None else phrases(x, pattern, bool(y), compat, known) for x, y in zip(s, w, strict=True)])
 
     return run(text, F.lit(False) if when_long is None else F.coalesce(when_long, F.lit(False)))
 
