@@ -123,6 +123,7 @@ def separator_column(text: Column, bank: tuple[str, ...] = ()) -> Column:
     return run(text)
 
 
+@lru_cache(maxsize=4096)
 def number_kind(number: str) -> str | None:
     """Which of the numbering classes a bare number belongs to, in their order."""
     for name, pattern in P.NUMBERING:
@@ -137,7 +138,8 @@ def _number_rx() -> re.Pattern:
     any_ = "|".join(p for _, p in P.NUMBERING)
     no_capital = "|".join(p for n, p in P.NUMBERING if n not in ("A", "XYZ"))
     bracketed, right = (rf"(?<![^\s\[]){mark}(?:{any_})\)(?!\()(?!:)" for mark in (r"\(", r"(?<!\()"))
-    return re.compile(rf"(?:{bracketed}|{right}|(?<![a-zA-Z]\.)(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.))")
+    near = r"(?=\(?[\w.]{1,8}[).])"  # no number is longer; this rules most places out before the classes are tried
+    return re.compile(rf"{near}(?:{bracketed}|{right}|(?<![a-zA-Z]\.)(?:{no_capital})\.(?!\d)(?![a-zA-Z]\.))")
 
 
 class _Ends:
@@ -206,6 +208,7 @@ def roman_value(s: str) -> int | None:
     return sum(-v if i + 1 < len(values) and v < values[i + 1] else v for i, v in enumerate(values))
 
 
+@lru_cache(maxsize=65536)
 def follows(last: str, now: str) -> bool:
     """Whether a number comes right after another: by value, by letter or as a numeral."""
     last, now = last.strip("()."), now.strip("().")
@@ -220,6 +223,18 @@ def follows(last: str, now: str) -> bool:
 
 
 LEVELS = 5
+_STARTS_OVER = re.compile(r"\d+\.")
+
+
+@lru_cache(maxsize=4096)
+def _form(number: str) -> str:
+    """A number's class in its brackets or with its full stop."""
+    return re.sub(r"\w+(?:\.\w+)*", number_kind(number.strip("().")) or "?", number, count=1)
+
+
+@lru_cache(maxsize=4096)
+def _shape(form: str) -> str:
+    return re.sub(r"[A-Za-z0-9.]+(?=\)|\.?$)", "", form)
 
 
 def list_items(text: str | None, carried: str | None = None) -> tuple[list[tuple[str | None, str]], str | None]:
@@ -233,24 +248,19 @@ def list_items(text: str | None, carried: str | None = None) -> tuple[list[tuple
     if not any(n for n, _ in pieces):
         return [(None, text or "")], None
     levels: list[tuple[str, str]] = []  # the form of each level's numbers, and its last number
-
-    def form(number: str) -> str:
-        return re.sub(r"\w+(?:\.\w+)*", number_kind(number.strip("().")) or "?", number, count=1)
-
     for number in re.findall(r"\(*\w+\)*\.*", carried or "")[:LEVELS]:
-        levels.append((form(number), number))
+        levels.append((_form(number), number))
     out: list[tuple[str | None, str]] = []
     for number, body in pieces:
         if number is None:
             out.append((None, body))
             continue
-        own = form(number)
-        if re.match(r"^\d+\.", number):
+        own = _form(number)
+        if _STARTS_OVER.match(number):
             levels = []
         depth = next((i for i in range(len(levels) - 1, -1, -1) if levels[i][0] == own and follows(levels[i][1], number)), None)
-        shape = lambda f: re.sub(r"[A-Za-z0-9.]+(?=\)|\.?$)", "", f)
         if depth is None:  # a numeral or a letter that goes on under another class
-            depth = next((i for i in range(len(levels) - 1, -1, -1) if shape(levels[i][0]) == shape(own) and follows(levels[i][1], number)), None)
+            depth = next((i for i in range(len(levels) - 1, -1, -1) if _shape(levels[i][0]) == _shape(own) and follows(levels[i][1], number)), None)
         if depth is None:
             depth = next((i for i in range(len(levels)) if levels[i][0] == own), min(len(levels), LEVELS - 1))
         levels = [*levels[:depth], (own, number)]
@@ -264,11 +274,11 @@ def list_item_column(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else [{"list_id": i, "text": t} for i, t in list_items(x)[0]])
 
 
-def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos", reset: str = "is_definition", text: str = "text") -> DataFrame:
+def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos", reset: str = "is_definition", text: str = "text", partitions: int | None = None) -> DataFrame:
     """(doc, pos, items): numbered items where a list goes on from the text before it in its block.
 
     The last id of a text is carried to the next one of the same block, except under definitions.  Blocks are sorted within
-    partitions and read as they stream by, so nothing but an id is held between texts.
+    partitions (so many of them, or the session's number) and read as they stream by, so nothing but an id is held between texts.
     """
     kind = dict(df.dtypes)
     form = pa.list_(pa.struct([("list_id", pa.string()), ("text", pa.string())]))
@@ -286,7 +296,7 @@ def list_items_in_blocks(df: DataFrame, *, doc: str = "doc_id", pos: str = "pos"
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, form)], [doc, "block_id", pos, "items"])
 
     schema = f"{doc} {kind[doc]}, block_id {kind['block_id']}, {pos} {kind[pos]}, items array<struct<list_id:string,text:string>>"
-    return df.select(doc, "block_id", pos, reset, text).repartition(doc, "block_id").sortWithinPartitions(doc, "block_id", pos).mapInArrow(run, schema)
+    return df.select(doc, "block_id", pos, reset, text).repartition(*([] if partitions is None else [partitions]), doc, "block_id").sortWithinPartitions(doc, "block_id", pos).mapInArrow(run, schema)
 
 
 def phrase_items(blocks: DataFrame, *, doc: str = "doc_id", pos: str = "pos") -> DataFrame:

@@ -15,7 +15,7 @@ from clausewright.operators import lookup as Q
 from clausewright.operators import match as M
 from clausewright.operators import pairs as N
 from clausewright.operators import tokenise as K
-from clausewright.queries.tables import BOXES, LINES, boxes, lines, table
+from clausewright.queries.tables import BOXES, LINES, boxes, lines, parted, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -204,7 +204,7 @@ def block_rows(spark, sf_dir):
 def numbered_items(spark, sf_dir):
     """Numbers of three forms, references that aren't items, and a second list that starts over."""
     text = F.concat(F.lit("(a) "), "c_name", F.lit(" pays; (i) fees; (ii) costs under Clause (b) and section 4. of it; (b) "), "c_name", F.lit(" repays 1. red 2. blue "), "c_name", F.lit(" (a) green (see (c) and (d)) (b) at least 5. years"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    rows = parted(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), rows=20_000).select("c_custkey", text.alias("text"))
     return rows.select("c_custkey", F.explode(K.list_item_column("text")).alias("i")).select("c_custkey", "i.list_id", "i.text")
 
 

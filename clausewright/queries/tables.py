@@ -23,9 +23,10 @@ def shares(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that aren't blank: (doc_id, pos, text, text_element)."""
-    docs = table(spark, sf_dir, "documents")
+def lines(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> DataFrame:
+    """Lines of documents that aren't blank: (doc_id, pos, text, text_element); ``dealt``: so many documents to a partition."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs if dealt is None else parted(docs, rows=dealt)
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.trim("text") != "")
     return each.withColumn("text_element", F.when(F.size(F.split("text", " ")) <= 5, "section").otherwise("paragraph"))
 

@@ -90,7 +90,7 @@ def comma_split(spark, sf_dir):
 
 @query()
 def list_numbering(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("doc_id", F.concat(F.lit("(a) "), F.replace("text", F.lit(". "), F.lit("; (b) "))).alias("text"), "pos")
+    rows = lines(spark, sf_dir, dealt=1_000).select("doc_id", F.concat(F.lit("(a) "), F.replace("text", F.lit(". "), F.lit("; (b) "))).alias("text"), "pos")
     return rows.select("doc_id", "pos", F.explode(K.list_item_column("text")).alias("i")).select("doc_id", "pos", "i.list_id", "i.text")
 
 

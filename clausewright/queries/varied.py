@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from clausewright.operators import extract as E
 from clausewright.operators import tokenise as K
-from clausewright.queries.tables import table
+from clausewright.queries.tables import parted, shares, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,10 +37,15 @@ counted AS (SELECT *, count(*) FILTER (level = 1 AND NOT bare) OVER (PARTITION B
 items AS (SELECT *, count(*) FILTER (level = 2 AND NOT bare) OVER (PARTITION BY l_orderkey, k ORDER BY r) AS j FROM counted)"""
 
 
+#: Lines of a partition.
+LINES_EACH = 100_000
+
+
 def items(spark, sf_dir, bare: bool) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     order = Window.partitionBy("l_orderkey").orderBy("r")
-    rows = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    rows = parted(lines, "l_orderkey", rows=LINES_EACH).withColumn("r", F.row_number().over(w))
     end = F.when(F.col("l_suppkey") % 3 == 0, " under Clause (b) and section 4. of it;").when(F.col("l_suppkey") % 3 == 1, " at once;").otherwise(";")
     rows = rows.withColumns({"bare": (F.col("l_discount") == 0.05) & (F.col("r") > 1) & F.lit(bare), "body": F.concat(F.lit("deliver "), "l_partkey", F.lit(" units"), end)})
     down = (F.col("l_returnflag") == "N") & (F.col("r") % 8 != 1) & ~F.coalesce(F.lag("bare").over(order), F.lit(False))
@@ -66,7 +71,7 @@ def varied_lists(spark, sf_dir):
 def varied_lists_across_texts(spark, sf_dir):
     """Every line a text of its own: lists go on over the texts of an order until one has no number."""
     rows = items(spark, sf_dir, True).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("block_id"), F.col("r").cast("long").alias("pos"), F.lit(False).alias("is_definition"), "text")
-    found = K.list_items_in_blocks(rows).select("doc_id", "pos", F.explode("items").alias("i"))
+    found = K.list_items_in_blocks(rows, partitions=shares(table(spark, sf_dir, "lineitem"), LINES_EACH)).select("doc_id", "pos", F.explode("items").alias("i"))
     return found.select(F.col("doc_id").alias("l_orderkey"), F.col("pos").alias("r"), "i.list_id", "i.text")
 
 
