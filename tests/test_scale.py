@@ -34,3 +34,14 @@ def test_ancestors_of_deep_and_unplaced_items(spark):
 def test_shares_grow_with_rows(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 10)
     assert parted(df, rows=100).rdd.getNumPartitions() == 10 and parted(df, "k", rows=10_000).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["numbered_items", "varied_lists", "varied_lists_across_texts", "list_numbering", "varied_blocks", "varied_section_values", "block_segments", "window_tags", "sentences_by_learned", "pdf_page_tokens", "word_tables"])
+def test_rows_are_dealt_by_their_number(spark, sf, name):
+    """A small file was one task, and partitions stayed as many however long the table."""
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
+
+
+def test_grids_are_read_once(spark, sf):
+    """Heads and last lines were made by two more reads of the lines."""
+    assert plan(QUERIES["word_tables"](spark, sf)).count("FileScan") == 1
