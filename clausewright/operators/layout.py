@@ -8,6 +8,7 @@ one document's rows in an Arrow function.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -178,15 +179,16 @@ def classify_windows(
             model = model or make_model()
             for begin in range(0, b.num_rows, batch):
                 some = b.slice(begin, batch)
-                items = some.column("items").to_pylist()
-                said = model([[(x["text"], x["box"]) for x in window] for window in items])
-                if [len(x) for x in said] != [len(x) for x in items]:
+                items, page_of = some.column("items"), some.select(["doc_id", "page_id", "window"])
+                flat, sizes = items.flatten(), items.value_lengths().to_pylist()  # what the model doesn't see stays in Arrow
+                shown, ends = list(zip(flat.field("text").to_pylist(), flat.field("box").to_pylist(), strict=True)), list(accumulate(sizes))
+                said = model([shown[end - n : end] for n, end in zip(sizes, ends, strict=True)])
+                if [len(x) for x in said] != sizes:
                     raise ValueError("a model must give a tag or None for every token of its windows")
-                flat = [{"at": x["at"], "pos": x["pos"], "box": x["box"], "tag": t, "room": min(i, len(window) - 1 - i)} for window, tags in zip(items, said, strict=True) for i, (x, t) in enumerate(zip(window, tags, strict=True))]
-                rows = some.select(["doc_id", "page_id", "window"]).take(pa.array([i for i, window in enumerate(items) for _ in window], pa.int64()))
-                inner = some.schema.field("items").type.value_type
-                columns = [pa.array([x[c] for x in flat], inner.field(c).type) for c in ("at", "pos", "box")]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *columns, pa.array([x["tag"] for x in flat], pa.string()), pa.array([x["room"] for x in flat], pa.int32())], ["doc_id", "page_id", "window", "at", "pos", "box", "tag", "room"])
+                rows = page_of.take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64()))
+                room = [min(i, n - 1 - i) for n in sizes for i in range(n)]
+                columns = [flat.field(c) for c in ("at", "pos", "box")]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns, pa.array([t for tags in said for t in tags], pa.string()), pa.array(room, pa.int32())], ["doc_id", "page_id", "window", "at", "pos", "box", "tag", "room"])
 
     tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as bytes don't tell what a model costs
     found = windows.repartition(tasks, "doc_id", "page_id", "window").mapInArrow(run, f"{page}, {given}, tag string, room int").where("tag is not null")

@@ -82,7 +82,8 @@ TYPE = "CASE WHEN regexp_matches({0}, '^Cl_.*-.*') THEN 'definitionClause' WHEN
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes made of order lines: (doc_id, page_id, pos, text, box), a page for each supplier's lines of a part group."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    li = parted(li, "l_suppkey")
     w = Window.partitionBy("l_suppkey", F.col("l_partkey") % 7).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     x0, y0 = (F.col("l_extendedprice") % 900).cast("int"), (F.col("l_orderkey") % 950).cast("int")
     return li.select(
