@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausewright.operators import sentences as S
-from clausewright.queries.tables import table
+from clausewright.queries.tables import parted, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -39,7 +39,8 @@ def said(spark, sf_dir) -> DataFrame:
     name = F.concat(F.lit("zeno"), F.translate(F.col("l_orderkey").cast("string"), "0123456789", "abcdefghkm"))
     saying = F.element_at(F.array(*(F.lit(" ".join(s)) for s in SAYINGS)), (F.col("l_partkey") % len(SAYINGS) + 1).cast("int"))
     text = F.replace(F.replace(saying, F.lit("$"), name), F.lit("#"), F.col("l_linenumber").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.row_number().over(w).alias("r"), text.alias("t")).alias("s"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = parted(lines, "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.row_number().over(w).alias("r"), text.alias("t")).alias("s"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), " ").alias("text"))
 
 
