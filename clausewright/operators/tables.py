@@ -1,7 +1,7 @@
 """Tables from the boxes of words: rows by height, columns by the gutters between them, records by a header.
 
-A page's words are sorted in windows by page and table area, and its cells swept as one array, so a page is the most that
-a task holds of one key, and all steps share one shuffle.
+A page's words are gathered in one row, so a page is the most that a task holds of one key.  Many pages are then swept at once as
+arrays of edges (:func:`grids`): sorted within their page, with the furthest edge so far as a running maximum.
 
 1. Words whose tops are no more than ``tolerance`` below the one before are a row.
 2. In a row, words no more than ``space`` apart are a cell's text.
@@ -12,61 +12,110 @@ a task holds of one key, and all steps share one shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 AREA = ("doc_id", "page_id", "table_id")
 
 
-SPANS = "array<struct<left:int,right:int>>"
-
-
-def _swept(spans: Column, gap: int) -> Column:
-    """Intervals joined from left to right where no more than ``gap`` is between one and all before it."""
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = F.struct(last["left"].alias("left"), F.greatest(last["right"], x["right"]).alias("right"))
-        return F.when(x["left"] - last["right"] <= gap, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
+#: Pages that are swept at once.
+PAGES = 2_000
+
+
+def _opens(group: np.ndarray, left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    """Whether intervals, sorted by group and left edge, begin more than ``gap`` after all before them in their group."""
+    if not len(group):
+        return np.zeros(0, bool)
+    low = right.min()
+    lift = group * (right.max() - low + 1) - low
+    reach = np.maximum.accumulate(right + lift) - lift
+    return np.r_[True, (group[1:] != group[:-1]) | (left[1:] - reach[:-1] > gap)]
+
+
+def _swept(page: np.ndarray, left: np.ndarray, right: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, left, right) of a page's intervals, joined from left to right where no more than ``gap`` is between one and all before it."""
+    order = np.lexsort((right, left, page))
+    page, left, right = page[order], left[order], right[order]
+    at = np.flatnonzero(_opens(page, left, right, gap))
+    return page[at], left[at], np.maximum.reduceat(right, at) if len(at) else right
+
+
+def _first_met(columns: tuple[np.ndarray, np.ndarray, np.ndarray], page: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first column of its page that each interval meets, or -1.  Columns lie apart, so it is the first that doesn't end before it."""
+    of, begins, ends = columns
+    low = min(left.min(), ends.min())
+    wide = max(left.max(), ends.max()) - low + 1
+    at = np.searchsorted(of * wide + ends - low, page * wide + left - low)
+    near = np.minimum(at, len(of) - 1)
+    return np.where((at < len(of)) & (of[near] == page) & (begins[near] <= right), at, -1)
+
+
+def _lines(words: pa.ListArray, tolerance: int, space: int) -> tuple[pa.Array, pa.Array]:
+    """Of pages with words (top, left, right, text): their numbers of columns, and their lines of cells, null where there is none."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    flat = words.flatten()
+    top, left, right = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    right, page = np.maximum(left, right), np.repeat(np.arange(len(sizes)), sizes)
+    down = np.lexsort((top, page))
+    page, top, left, right = page[down], top[down], left[down], right[down]
+    row = np.cumsum(np.r_[True, (page[1:] != page[:-1]) | (np.diff(top) > tolerance)]) - 1
+    along = np.lexsort((right, left, row))
+    if ((np.diff(row[along]) == 0) & (np.diff(left[along]) == 0) & (np.diff(right[along]) == 0)).any():
+        said = pc.rank(flat.field(3).cast(pa.binary()), tiebreaker="dense").to_numpy()[down]
+        along = np.lexsort((said, right, left, row))
+    page, left, right, row = page[along], left[along], right[along], row[along]
+    text = flat.field(3).take(pa.array(down[along]))
+    parts = np.flatnonzero(_opens(row, left, right, space))
+    page, row, left, right = page[parts], row[parts], left[parts], np.maximum.reduceat(right, parts)
+    widths, begins = np.bincount(row), np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    kinds, rows = np.unique(page[begins] * (widths.max() + 1) + widths, return_counts=True)
+    kinds = kinds[np.lexsort((kinds, rows, kinds // (widths.max() + 1)))]
+    usual = kinds[np.r_[np.diff(kinds // (widths.max() + 1)) > 0, True]] % (widths.max() + 1)
+    shows = widths[row] == usual[page]
+    shows |= _first_met(_swept(page[shows], left[shows], right[shows], space), page, left, right) < 0
+    columns = _swept(page[shows], left[shows], right[shows], space)
+    many = np.bincount(columns[0], minlength=len(sizes))
+    column = _first_met(columns, page, left, right) - (np.cumsum(many) - many)[page]
+    cells = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (column[1:] != column[:-1])])
+    said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[parts[cells], len(text)], pa.int32()), text), " ")
+    ends = np.r_[0, np.cumsum(many[page[begins]])]
+    place = np.full(ends[-1], -1)
+    place[ends[row[cells]] + column[cells]] = np.arange(len(cells))
+    lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), said.take(pa.array(place, mask=place < 0)))
+    return pa.array(many, pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(page[begins], minlength=len(sizes)))], pa.int32()), lines)
+
+
+def grids(words: DataFrame, *, by: tuple[str, ...] = AREA, text: str = "text", box: str = "box", tolerance: int = 15, space: int = 8) -> DataFrame:
+    """(by, n_columns, lines) of words with a box (x0, y0, x1, y1): a page's lines as arrays of cells, null where there is none.
+
+    Words without text or box are left out; a box that ends before it begins has no width.  Cells that two parts of a row share have
+    them in order, parted by a blank.
+    """
+    keys, edge = list(by), lambda i: F.get(F.col(box), F.lit(i))
+    placed = words.select(*keys, F.col(text).alias("text"), edge(0).alias("left"), edge(1).alias("top"), edge(2).alias("right")).where("text is not null and left is not null and top is not null and right is not null")
+    pages = placed.groupBy(*keys).agg(F.collect_list(F.struct("top", "left", "right", "text")).alias("words"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, PAGES):
+                some = batch.slice(a, PAGES)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *_lines(some.column(some.num_columns - 1), tolerance, space)], [*keys, "n_columns", "lines"])
 
-def _meets(part: Column, column: Column) -> Column:
-    return (part["left"] <= column["right"]) & (part["right"] >= column["left"])
+    kinds = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in keys)
+    return pages.mapInArrow(run, f"{kinds}, n_columns int, lines array<array<string>>")
 
 
 def cells(words: DataFrame, *, by: tuple[str, ...] = AREA, text: str = "text", box: str = "box", tolerance: int = 15, space: int = 8) -> DataFrame:
-    """(by, n_columns, row, column, text) of words with a box (x0, y0, x1, y1), both numbers from 0.
-
-    Words without text or box are left out; cells that two parts of a row share have them in order, parted by a blank.
-    """
-    keys, edge = list(by), lambda i: F.get(F.col(box), F.lit(i))
-    placed = words.select(*keys, F.col(text).alias("text"), edge(0).alias("left"), edge(1).alias("top"), edge(2).alias("right")).where("text is not null and left is not null and top is not null and right is not null")
-    down = Window.partitionBy(*keys).orderBy("top", "left", "right", "text")
-    fresh = F.when(F.col("top") - F.lag("top").over(down) > tolerance, 1).otherwise(0)
-    rows = placed.withColumn("fresh", fresh).withColumn("row", F.sum("fresh").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    along = Window.partitionBy(*keys, "row").orderBy("left", "right")
-    reach = F.max("right").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("fresh", F.when(F.col("left") - reach > space, 1).otherwise(0))
-    rows = rows.withColumn("part", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "text"))), lambda x: x["text"]), " ")
-    parts = rows.groupBy(*keys, "row", "part").agg(said.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"))
-    parts = parts.withColumn("width", F.count(F.lit(1)).over(Window.partitionBy(*keys, "row")))
-    whole = parts.groupBy(*keys).agg(F.collect_list(F.struct("row", "part", "left", "right", "width", "text")).alias("parts"))
-    sizes = whole.withColumn("sizes", F.transform(F.filter("parts", lambda x: x["part"] == 0), lambda x: x["width"]))
-    usual = F.array_max(F.transform(F.array_distinct("sizes"), lambda n: F.struct(F.size(F.filter("sizes", lambda x: x == n)).alias("rows"), n.alias("n"))))["n"]
-    span = lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"))
-    found = sizes.withColumn("usual", usual)
-    found = found.withColumn("base", _swept(F.transform(F.filter("parts", lambda x: x["width"] == F.col("usual")), span), space))
-    shows = lambda x: (x["width"] == F.col("usual")) | ~F.exists("base", lambda c: _meets(x, c))
-    found = found.withColumn("columns", _swept(F.transform(F.filter("parts", shows), span), space))
-    first = lambda x: F.array_position(F.transform("columns", lambda c: _meets(x, c)), F.lit(True)).cast("int") - 1
-    placed = F.transform("parts", lambda x: F.struct(x["row"].alias("row"), first(x).alias("column"), x["part"].alias("part"), x["text"].alias("text")))
-    each = found.select(*keys, F.size("columns").alias("n_columns"), F.inline(placed))
-    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ")
-    return each.groupBy(*keys, "n_columns", "row", "column").agg(text_.alias("text"))
+    """(by, n_columns, row, column, text) of the cells of :func:`grids`, both numbers from 0."""
+    found = grids(words, by=by, text=text, box=box, tolerance=tolerance, space=space)
+    rows = found.select(*by, "n_columns", F.posexplode("lines").alias("row", "line"))
+    return rows.select(*by, "n_columns", "row", F.posexplode("line").alias("column", "text")).where("text is not null")
 
 
 def tables(cells_: DataFrame, *, by: tuple[str, ...] = AREA, document: tuple[str, ...] = ("doc_id",), compat: bool = True) -> DataFrame:
@@ -81,7 +130,13 @@ def tables(cells_: DataFrame, *, by: tuple[str, ...] = AREA, document: tuple[str
     filled = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda c: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, _: k == c)), F.lit(0)), F.lit("")))
     rows = rows.select(*keys, "n_columns", "row", filled.alias("cells"))
     whole = rows.groupBy(*keys, "n_columns").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("all"))
-    whole = whole.withColumn("lines", F.transform("all", lambda x: x["cells"]))
+    return named_tables(whole.select(*keys, "n_columns", F.transform("all", lambda x: x["cells"]).alias("lines")), by=by, document=document, compat=compat)
+
+
+def named_tables(grids_: DataFrame, *, by: tuple[str, ...] = AREA, document: tuple[str, ...] = ("doc_id",), compat: bool = True) -> DataFrame:
+    """What :func:`tables` gives, from lines of cells as :func:`grids` has them; where there is no cell, its text is empty."""
+    keys = list(by)
+    whole = grids_.withColumn("lines", F.transform("lines", lambda line: F.transform(line, lambda x: F.coalesce(x, F.lit("")))))
     own = F.get("lines", F.lit(0))
     named = whole.withColumn("own", F.when(~F.exists(own, lambda x: F.trim(x) == ""), own))
     order = Window.partitionBy(*document).orderBy(*(k for k in keys if k not in document)).rowsBetween(Window.unboundedPreceding, 0)

@@ -45,3 +45,9 @@ def test_rows_are_dealt_by_their_number(spark, sf, name):
 def test_grids_are_read_once(spark, sf):
     """Heads and last lines were made by two more reads of the lines."""
     assert plan(QUERIES["word_tables"](spark, sf)).count("FileScan") == 1
+
+
+def test_words_are_swept_where_their_order_lies(spark, sf):
+    """Words, their rows, parts and cells were shuffled by page and sorted for each step; only tables go to their document now."""
+    text = plan(QUERIES["word_tables"](spark, sf))
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2 and text.count("Window [") == 3

@@ -91,3 +91,16 @@ def test_titles_over_columns(spark):
     rows = [(1, 1, 0, "a long title", [0, 0, 130, 10]), *[(1, 1, 0, t, [x, 30 * r, x + 20, 30 * r + 10]) for r, line in enumerate([("A", "B"), ("C", "D")], 1) for x, t in zip((0, 100), line, strict=True)], (1, 1, 0, "aside", [300, 62, 330, 70])]
     got = {(r.row, r.column): r.text for r in TB.cells(words(spark, rows)).collect()}
     assert got == {(0, 0): "a long title", (1, 0): "A", (1, 1): "B", (2, 0): "C", (2, 1): "D", (2, 2): "aside"}
+
+
+def test_a_box_that_ends_before_it_begins(spark):
+    """Its word met no column, so it was lost from the table."""
+    rows = [*grid(1, 1, [["A", "B"], ["1", "2"]]), (1, 1, 0, "3", [110, 60, 105, 70])]
+    assert {(r.row, r.column): r.text for r in TB.cells(words(spark, rows)).collect()}[2, 1] == "3"
+
+
+def test_more_pages_than_are_swept_at_once(spark, monkeypatch):
+    monkeypatch.setattr(TB, "PAGES", 3)
+    rows = [w for page in range(20) for w in grid(page % 3, page, [["A", "B"], [f"v{page}", None], ["w", "x"]])]
+    got = {r.page_id: r.lines for r in TB.grids(words(spark, rows)).collect()}
+    assert got == {page: [["A", "B"], [f"v{page}", None], ["w", "x"]] for page in range(20)}
