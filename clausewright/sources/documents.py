@@ -134,6 +134,10 @@ def carry_headers(tables: DataFrame, *, by: list[str], order: list[str], header:
 PDF_TOKENS = "page_id int, pos int, text string, box array<int>, rule_tag string, size double, flags int, font string, color int"
 
 
+#: Tokens that are sent on together, at least.
+TOKENS_SENT = 2_000
+
+
 def on_grid(box: tuple, width: float, height: float) -> list[int]:
     return [min(1000, max(0, int(v / (height if i % 2 else width) * 1000))) for i, v in enumerate(box)]
 
@@ -142,7 +146,7 @@ def pdf_rows(pdf: Pdf, words: bool, first: int = 0, last: int | None = None) ->
     """Tokens of some pages of a PDF: (page_id, pos, text, box, rule_tag, size, flags, font, color)."""
     for number, page in pdf.pages(first, last):
         width, height = page_size(pdf, page)
-        found = page_spans(pdf, page)
+        found = page_spans(pdf, page, words)
         parts = [(w, box, s) for s in found for w, box in s.words] if words else [(s.text, s.box, s) for s in found]
         for pos, (text, box, s) in enumerate(parts):
             yield number, pos, text, on_grid(box, width, height), None, s.size, s.flags, s.font, s.color
@@ -155,20 +159,28 @@ def pdf_tokens(files_: DataFrame, key: str = "path", *, content: str = "content"
     """
     kind, types = files_.schema[key].dataType.simpleString(), [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.int32()]
 
+    def sent(keys: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types, pa.string()], strict=True)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *columns], ["key", *(x.split()[0] for x in PDF_TOKENS.split(", ")), "error"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, rows = [], []
             for i in range(batch.num_rows):
-                raw, error, rows = batch.column(1)[i].as_py(), None, []
+                raw = batch.column(1)[i].as_py()
                 if raw is None:
                     continue
                 try:
-                    rows = list(pdf_rows(Pdf.of(raw), granularity == "word"))
+                    found = [(*row, None) for row in pdf_rows(Pdf.of(raw), granularity == "word")]
                 except Exception as e:  # one bad file is data, not the end of the job
-                    error = f"{type(e).__name__}: {e}"[:500]
-                rows = rows or ([(None,) * 9] if error else [])
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-                keys = batch.column(0).slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *columns, pa.array([error] * len(rows), pa.string())], ["key", *(x.split()[0] for x in PDF_TOKENS.split(", ")), "error"])
+                    found = [(*(None,) * 9, f"{type(e).__name__}: {e}"[:500])]
+                rows += found
+                at += [i] * len(found)
+                if len(rows) >= TOKENS_SENT:
+                    yield sent(batch.column(0), at, rows)
+                    at, rows = [], []
+            if rows:
+                yield sent(batch.column(0), at, rows)
 
     return files_.selectExpr(f"`{key}` AS key", f"`{content}` AS content").mapInArrow(run, f"key {kind}, {PDF_TOKENS}, error string").withColumnRenamed("key", key)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausewright.sources import documents, pdf_write
-from clausewright.sources.pdf import FILTERS, Parser, Pdf, Ref, _lzw, _unpredicted, page_size, page_spans
+from clausewright.sources.pdf import FILTERS, Parser, Pdf, Ref, _lzw, _unpredicted, code_map, page_size, page_spans
 from clausewright.sources.pdf_write import pdf_file, stream, text_pdf
 
 CATALOG = b"<< /Type /Catalog /Pages 2 0 R >>"
@@ -196,3 +196,17 @@ def test_errors_are_rows_or_left_out(spark, folder, tmp_path):
     assert [r.text for r in load("skip")] == ["fine"]
     with pytest.raises(Exception, match="PDF"):
         load("raise")
+
+
+def test_words_are_made_only_if_asked_for():
+    """A box was worked out for each word, and edges for each letter, though only spans' boxes were wanted."""
+    pdf = Pdf.of(text_pdf("  two words\nand a line that is long enough to be cut: " + "abc " * 30 + "\n\nend"))
+    (_, page), = pdf.pages()
+    whole, plain = page_spans(pdf, page), page_spans(pdf, page, words=False)
+    assert [s._replace(words=[]) for s in whole] == plain and [w for w, _ in whole[0].words] == ["two", "words"]
+    assert len(pdf.fonts) == 1 and all(s.box[0] == s.words[0][1][0] and s.box[2] == s.words[-1][1][2] for s in whole)
+
+
+def test_maps_of_pairs_and_of_other_things():
+    text, _, _ = code_map(b"2 beginbfchar\n<0001> <0041>\n<0002><D83DDE00>\nendbfchar\n2 beginbfchar <03> % a remark\n<0042> <0004> /x endbfchar 1 beginbfrange <05> <06> <0061> endbfrange")
+    assert text == {1: "A", 2: "😀", 3: "B", 4: "", 5: "a", 6: "b"}
