@@ -51,3 +51,15 @@ def test_words_are_swept_where_their_order_lies(spark, sf):
     """Words, their rows, parts and cells were shuffled by page and sorted for each step; only tables go to their document now."""
     text = plan(QUERIES["word_tables"](spark, sf))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 2 and text.count("Window [") == 3
+
+
+def test_rows_of_agreements_are_sorted_for_few_steps(spark, sf):
+    """There were thirteen sorts and twenty windows, most of them over the same documents in the same order."""
+    text = plan(QUERIES["varied_agreements"](spark, sf))
+    assert text.count("Sort [") <= 9 and text.count("Window [") <= 12
+
+
+def test_fills_of_several_gates(spark):
+    df = spark.createDataFrame([(1, n, a, b) for n, a, b in [(1, "x", None), (2, None, "y"), (3, None, None), (4, "z", None)]], "d int, n int, a string, b string")
+    got = R.forward_fills(df, {"a": F.col("n") < 3, "b": F.col("n") > 1}, by=["d"], order=["n"])
+    assert [(r.a, r.b) for r in got.orderBy("n").collect()] == [("x", None), ("x", "y"), (None, "y"), ("z", "y")]
